@@ -174,13 +174,14 @@ class SharedSpans:
         ids = d.select("doc_id", *key)
         reps = ids.groupBy("k1", "k2", "k3").agg(F.min("doc_id").alias("rep"))
         self.members = cut_lineage(ids.join(reps, ["k1", "k2", "k3"]).select("doc_id", "rep"))
-        # Only copies are left out of the pass over the texts; where there are none the anti-join has nothing to send.
-        copies = self.members.where("doc_id <> rep").select(F.col("doc_id"))
-        self.texts = d.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("rep"), "text")
+        # Copies go through the pass too: leaving them out first would send every text through a shuffle.
+        self.texts = d.select(F.col("doc_id").alias("rep"), "text")
         starts = self.texts.mapInArrow(_starts, _STARTS)
-        # Runs of one class only are dropped where they are first brought together.
+        # Runs of one document only are dropped where they are first brought together, then those of copies.
         w = Window.partitionBy("run")
         shared = starts.withColumns({"lo": F.min("rep").over(w), "hi": F.max("rep").over(w)}).where("lo <> hi").drop("lo", "hi")
+        copies = self.members.where("doc_id <> rep").select(F.col("doc_id").alias("rep"))
+        shared = shared.join(copies, "rep", "left_anti")
         self.shared = cut_lineage(shared)
         self.links = cut_lineage(self._verified())
 
