@@ -330,13 +330,15 @@ def _js(ts: bool) -> dict[str, re.Pattern]:
     )
     head = rf"(?:IP|Fu?P|L|D|CP?|{nm}:|a{e}:|d:)"
     simple = rf"(?:{impex}|{decl}|R(?:{e}(?:,{e})*)?|b{nm}?|{e}(?:,{e})*)"
-    seq = rf"(?:[;N]+|{head}|(?:{fn}|{cls}|{ts_decl}|B)|(?:X|Xd)(?:{fn}|{cls}|{ts_decl})|{simple}(?=[;NL]|$|I(?<=B)))*"
+    seq = rf"(?>[;N]+|{head}|(?:{fn}|{cls}|{ts_decl}|B)|(?:X|Xd)(?:{fn}|{cls}|{ts_decl})|{simple}(?=[;NL]|$|I(?<=B)))*+"
+    arg = rf"(?>(?:{e}|{param}|{typ if ts else '(?!)'})(?=N*(?:,|$)))"
+    item = rf"(?>(?:{e}|{bind})(?=N*(?:,|$)))"
     lists = {
-        "(": rf"(?:[N]*(?:(?:{e}|{param}|{typ if ts else '(?!)'})(?:,(?:{e}|{param}))*,?|v(?:{nm}|K|B)[wo]{e}|(?:v{bind}(?:,{bind})*|{e}(?:,{e})*)?;(?:{e})?;(?:{e}(?:,{e})*)?|(?:{nm}|K|B)[wo]{e})?N*)",
-        "[": rf"(?:N*(?:,|(?:{e}|{bind})?(?:,(?:{e}|{bind})?)*{'|' + nm + 'o?' + typ + '|' + nm + ':' + typ if ts else ''})N*)",
-        "{": rf"(?:{seq}|N*(?:{prop}(?:,{prop})*,?)?N*|(?:[;N]+|{member})*"
+        "(": rf"(?:[N]*(?:{arg}(?:,{arg})*+,?|v(?:{nm}|K|B)[wo]{e}|(?:v{bind}(?:,{bind})*|{e}(?:,{e})*)?;(?:{e})?;(?:{e}(?:,{e})*)?|(?:{nm}|K|B)[wo]{e})?N*)",
+        "[": rf"(?:N*(?:,|{item}?(?:,{item}?)*+{'|' + nm + 'o?' + typ + '|' + nm + ':' + typ if ts else ''})N*)",
+        "{": rf"(?:{seq}|N*(?:(?>{prop})(?:,(?>{prop}))*+,?)?N*|(?>[;N]+|{member})*+"
         + rf"|N*(?:(?:w?{member_name}(?:w{member_name})?)(?:,w?{member_name}(?:w{member_name})?)*,?)?N*"
-        + (rf"|(?:N*j*(?:{member_name}|K)\??(?:P)?(?::{typ})?[;,N]*)*" if ts else "")
+        + (rf"|(?>N*j*(?:{member_name}|K)\??(?:P)?(?::{typ})?[;,N]+|N*j*(?:{member_name}|K)\??(?:P)?(?::{typ})?$)*+" if ts else "")
         + ")",
         "": seq,
     }
@@ -354,15 +356,16 @@ def _java() -> dict[str, re.Pattern]:
     typedecl = rf"(?:(?:j|{ann})*@?ciP?(?:x{typ}(?:,{typ})*|i{typ}(?:,{typ})*)*B|(?:j|{ann})*iiP(?:x{typ}(?:,{typ})*)?B)"
     head = rf"(?:IP|FP|L|DP?|CP|i:|a{e}(?:,{e})*[:A]|a(?:{var})[:A]|d[:A])"
     simple = rf"(?:R(?:{e})?(?::{e})?|bi?|{var}|{e}|ii?{e})"
-    seq = rf"(?:;|{head}|B|{typedecl}|{simple};|IB)*"
-    member = rf"(?:;|{typedecl}|(?:j|{ann}|d)*(?:o?i?o)?(?:{typ})?iP(?:K)*(?:x{typ}(?:,{typ})*)?(?:d{e})?(?:B|;)|(?:j|{ann})*iB|{var};|j?B)"
-    enum = rf"(?:(?:{ann}*iP?B?)(?:,{ann}*iP?B?)*,?(?:;{member}*)?|;{member}*)"
+    seq = rf"(?>;|{head}|B|{typedecl}|{simple};|IB)*+"
+    member = rf"(?>;|{typedecl}|(?:j|{ann}|d)*(?:o?i?o)?(?:{typ})?iP(?:K)*(?:x{typ}(?:,{typ})*)?(?:d{e})?(?:B|;)|(?:j|{ann})*iB|{var};|j?B)"
+    enum = rf"(?:(?:{ann}*iP?B?)(?:,{ann}*iP?B?)*,?(?:;{member}*+)?|;{member}*+)"
     unit = rf"(?:{ann}*ki(?:\.i)*;)?(?:mj?i(?:\.i|\.\*)*;|;)*(?:{typedecl}|;)*"
     param = rf"(?:(?:j|{ann})*{typ}~?(?:i|\.i)(?:K)*)"
+    arg = rf"(?>(?:{e}|{param})(?=,|$))"
     lists = {
-        "(": rf"(?:(?:{e}|{param})(?:,(?:{e}|{param}))*|{var}[:]{e}|(?:{var}|{e}(?:,{e})*)?;(?:{e})?;(?:{e}(?:,{e})*)?|{var}(?:;{var})*;?|{typ}(?:o{typ})+i?|(?:j|{ann})*{typ}(?:o{typ})*i|i={e}(?:,i={e})*)?",
+        "(": rf"(?:{arg}(?:,{arg})*+|{var}[:]{e}|(?:{var}|{e}(?:,{e})*)?;(?:{e})?;(?:{e}(?:,{e})*)?|{var}(?:;{var})*;?|{typ}(?:o{typ})+i?|(?:j|{ann})*{typ}(?:o{typ})*i|i={e}(?:,i={e})*)?",
         "[": rf"(?:{e})?",
-        "{": rf"(?:{seq}|{member}*|{enum}|(?:{e}(?:,{e})*,?)?|(?:a{e}(?:,{e})*A(?:{simple};|B)|dA(?:{simple};|B))*)",
+        "{": rf"(?:{seq}|{member}*+|{enum}|(?:{e}(?:,{e})*,?)?|(?>a{e}(?:,{e})*A(?:{simple};|B)|dA(?:{simple};|B))*+)",
         "": unit,
     }
     return {k: re.compile(v) for k, v in lists.items()}
@@ -385,15 +388,15 @@ def _go() -> dict[str, re.Pattern]:
     header = rf"(?:(?:{simple})?(?:;(?:{simple})?){{0,2}})"
     stmt = rf"(?:{decl}|{simple}|R(?:{es})?|G{e}|bi?|I{header}B(?:LI{header}B)*(?:LB)?|F{header}B|W{header}B|B|i:N*)"
     case = rf"(?:(?:a{es}|a{assign}|d):)"
-    seq = rf"(?:[;N]+|{case}|{stmt}(?=[;N]|$))*"
+    seq = rf"(?>[;N]+|{case}|{stmt}(?=[;N]|$))*+"
     fdecl = rf"(?:fP?iK?P(?:{typ})?B?)"
-    unit = rf"[;N]*ki(?:[;N]+(?:m(?:[i.]?s|P|\.i?s))?)*(?:[;N]+|(?:{fdecl}|{decl})(?=[;N]|$))*"
-    elem = rf"(?:(?:{e}|B):(?:{e}|B)|{e}|B)"
-    param = rf"(?:i(?:,i)*~?{typ}|~?{typ}|~{typ})"
+    unit = rf"[;N]*ki(?:[;N]+(?:m(?:[i.]?s|P|\.i?s))?)*(?>[;N]+|(?:{fdecl}|{decl})(?=[;N]|$))*+"
+    elem = rf"(?>(?:(?:{e}|B):(?:{e}|B)|{e}|B)(?=N*(?:,|$)))"
+    param = rf"(?>(?:i~?{typ}|~?{typ}|i)(?=N*(?:,|$)))"
     lists = {
-        "(": rf"(?:N*(?:{es}|{param}(?:,N*{param})*),?N*|[N;]*(?:{spec}|{tspec}|[i.]?s)?(?:[N;]+(?:{spec}|{tspec}|[i.]?s))*[N;]*|y)?",
+        "(": rf"(?:N*(?:{es}|{param}(?:,N*{param})*+),?N*|[N;]*(?:{spec}|{tspec}|[i.]?s)?(?:[N;]+(?:{spec}|{tspec}|[i.]?s))*[N;]*|y)?",
         "[": rf"(?:{e}|{e}?:{e}?(?::{e})?|~|i{typ}(?:,i{typ})*|{typ}(?:,{typ})*)?",
-        "{": rf"(?:{seq}|N*(?:{elem}(?:,N*{elem})*,?)?N*|(?:[;N]+|(?:(?:i(?:,i)*)?{typ}s?|iP(?:{typ})?|{typ}(?:o{typ})*)(?=[;N]|$))*)",
+        "{": rf"(?:{seq}|N*(?:{elem}(?:,N*{elem})*+,?)?N*|(?>[;N]+|(?:(?:i(?:,i)*)?{typ}s?|iP(?:{typ})?|{typ}(?:o{typ})*)(?=[;N]|$))*+)",
         "": unit,
     }
     return {k: re.compile(v) for k, v in lists.items()}
@@ -412,16 +415,26 @@ def _python() -> dict[str, re.Pattern]:
     compound = (
         rf"(?:y?(?:I(?:{es}(?:a(?:{e}|P))?(?:,{e}a{e})*|{es}o{es}|i(?:\.i)*)?|L)|y?fiK?P(?:A{e})?|I{e}(?:,?\*?{e})*(?:I{e})?|L):"
     )
-    stmt = rf"(?:@{e}N|{line}N|{compound}(?:{line}N|N>)|<)"
+    stmt = rf"(?:@{e}N|{line}N|{compound}(?:{line}N|N>)|N)"
+    arg = rf"(?>(?:{e}{comp}*|i=?{e}|i:{e}(?:={e})?|\*?\*?i(?::{e})?|i={e}|{e}w{e}|o|\*|i(?:ai)?|{e}a{e})(?=,|$))"
+    index = rf"(?>(?:{e}{comp}*|(?:{e})?:(?:{e})?(?::(?:{e})?)?)(?=,|$))"
+    entry = rf"(?>(?:{e}:{e}{comp}*|\*?{e}{comp}*)(?=,|$))"
     lists = {
-        "(": rf"(?:(?:{e}{comp}*|i=?{e}|i:{e}(?:={e})?|\*?\*?i(?::{e})?|i={e}|/|o|\*)(?:,(?:{e}|i={e}|i:{e}(?:={e})?|\*i(?::{e})?|o|\*))*,?|{es}|Y(?:M?{es})?|{e}w{e}|i(?:ai)?(?:,i(?:ai)?)*,?|{e}a{e}(?:,{e}a{e})*,?)?",
-        "[": rf"(?:{e}{comp}*|(?:{e})?:(?:{e})?(?::(?:{e})?)?|(?:(?:{e})?:?(?:{e})?,)*(?:(?:{e})?:?(?:{e})?)?|{es})?",
-        "{": rf"(?:{e}:{e}{comp}*|{e}{comp}*|(?:{e}:{e}|\*{e})(?:,(?:{e}:{e}|\*{e}))*,?|{es})?",
-        "": rf"(?:N|{stmt})*",
+        "(": rf"(?:{arg}(?:,{arg})*+,?|Y(?:M?{es})?)?",
+        "[": rf"(?:{index}(?:,{index})*+,?)?",
+        "{": rf"(?:{entry}(?:,{entry})*+,?)?",
+        "": rf"<*{stmt}<*",
     }
     return {k: re.compile(v) for k, v in lists.items()}
 
 
+def statements(lang: str, reduced: str) -> list[str]:
+    """What the productions of a file are asked of: its logical lines in Python, else the file as a whole."""
+    if lang == "py":
+        return re.findall(r"[^N]*N>?", reduced.rstrip("<"))
+    return [reduced if len(reduced) < 400 else squeeze(reduced)]
+
+
 _JSON_RULES = {"{": re.compile(r"(?:s:[snlBK](?:,s:[snlBK])*)?"), "[": re.compile(r"(?:[snlBK](?:,[snlBK])*)?"), "(": re.compile(r"(?!)"), "": re.compile("[snlBK]")}
 
 

@@ -1,9 +1,10 @@
 """Source files that do not parse (problem 5).
 
 Each file is lexed once; what comes out as rows are its distinct adjacent token pairs, the brackets that are left
-after matched groups cancelled inside the file, and its distinct statement shapes. Pairs are anti-joined with the
-pairs that the language's grammar permits, left-over brackets are judged by a running depth over the file, and
-shapes by the statement productions. Cancelling before the rows leave the lexer keeps the window to broken files.
+after matched groups cancelled inside the file, and the statement shapes that no production yields. Pairs are
+anti-joined with the pairs that the language's grammar permits, left-over brackets are judged by a running depth
+over the file. Cancelling and deriving before rows leave the lexer keeps the window to broken files and lets the
+whole job pass once over the texts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ LANGUAGES = ("py", "js", "ts", "go", "java", "json")
 #: Below this, an empty file is a file of no statements; the others need at least a clause or a value.
 EMPTY_IS_INVALID = ("go", "json")
 
-_LEXED = "graphId string, path string, lang string, pairs array<string>, shapes array<string>, brackets array<struct<pos:int,step:int>>, exact boolean"
+_FOUND = "graphId string, path string, lang string, exact boolean, found array<struct<kind:string,item:string,pos:int,step:int>>"
 
 
 def file_language(path: F.Column) -> F.Column:
@@ -32,32 +33,32 @@ def file_language(path: F.Column) -> F.Column:
 
 def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     warnings.simplefilter("ignore")
+    item = pa.list_(pa.struct([("kind", pa.string()), ("item", pa.string()), ("pos", pa.int32()), ("step", pa.int32())]))
     for batch in batches:
-        pairs, shapes, brackets, exact = [], [], [], []
-        langs = batch.column("lang").to_pylist()
-        for lang, content in zip(langs, batch.column("content"), strict=True):
+        found, exact = [], []
+        for lang, content in zip(batch.column("lang").to_pylist(), batch.column("content"), strict=True):
             text = content.as_py()
             letters = G.lex(lang, text)
-            p = G.pair_set(letters)
+            pairs = G.pair_set(letters)
             if lang not in EMPTY_IS_INVALID and not letters.strip("N"):
-                p = set()
-            left, s = G.reduce_groups(letters)
-            open_ = [(i, 1 if c in G.OPEN else -1) for i, c in enumerate(left) if c in G.OPEN or c in G.CLOSE]
-            if not open_:
-                s.add(left if len(left) < 400 else G.squeeze(left))
-            pairs.append(sorted(p))
-            shapes.append(sorted(s))
-            brackets.append([{"pos": a, "step": b} for a, b in open_])
-            exact.append(_python_parses(text) if lang == "py" and _doubtful(lang, p, s, open_) else None)
+                pairs = set()
+            left, shapes = G.reduce_groups(letters)
+            brackets = [(i, 1 if c in G.OPEN else -1) for i, c in enumerate(left) if c in G.OPEN or c in G.CLOSE]
+            if not brackets:
+                shapes.update(G.statements(lang, left))
+            # Statements that a production yields end here; pairs are left to the anti-join.
+            off = [x for x in shapes if not G.produces(lang, x)]
+            found.append(
+                [{"kind": "pair", "item": p, "pos": 0, "step": 0} for p in pairs]
+                + [{"kind": "statement", "item": x[:200], "pos": 0, "step": 0} for x in off]
+                + [{"kind": "nesting", "item": "", "pos": i, "step": s} for i, s in brackets]
+            )
+            doubtful = lang == "py" and (off or brackets or not pairs <= G.permitted_pairs(lang))
+            exact.append(_python_parses(text) if doubtful else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("graphId"), batch.column("path"), batch.column("lang"), pa.array(pairs, pa.list_(pa.string())), pa.array(shapes, pa.list_(pa.string())),
-             pa.array(brackets, pa.list_(pa.struct([("pos", pa.int32()), ("step", pa.int32())]))), pa.array(exact, pa.bool_())],
-            names=["graphId", "path", "lang", "pairs", "shapes", "brackets", "exact"],
-        )
-
-
-def _doubtful(lang: str, pairs: set[str], shapes: set[str], brackets: list) -> bool:
-    return bool(brackets) or not pairs <= G.permitted_pairs(lang) or not all(G.produces(lang, x) for x in shapes)
+            [batch.column("graphId"), batch.column("path"), batch.column("lang"), pa.array(exact, pa.bool_()), pa.array(found, item)],
+            names=["graphId", "path", "lang", "exact", "found"],
+        )
 
 
 def _python_parses(text: str) -> bool:
@@ -69,16 +70,6 @@ def _python_parses(text: str) -> bool:
     return True
 
 
-def _unproduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [
-            i for i, (lang, shape) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("shape").to_pylist(), strict=True))
-            if not G.produces(lang, shape)
-        ]
-        if keep:
-            yield batch.take(pa.array(keep, pa.int32()))
-
-
 def parse_failures(files: DataFrame) -> DataFrame:
     """graphId, path, lang, reasons of each file that is not valid in the language of its path.
 
@@ -88,17 +79,10 @@ def parse_failures(files: DataFrame) -> DataFrame:
     """
     spark = files.sparkSession
     known = files.select("graphId", "path", file_language(F.col("path")).alias("lang"), "content").where("lang is not null and content is not null")
-    lexed = known.mapInArrow(_lex, _LEXED)
-    grammar = [(lang, p) for lang in LANGUAGES for p in sorted(G.permitted_pairs(lang))]  # fixed by the grammars: some thousand rows
-    permitted = F.broadcast(spark.createDataFrame(grammar, "lang string, pair string"))
-
-    # What the lexer found, as rows: pairs and brackets stay in the JVM, statements go to their productions.
-    key = ["graphId", "path", "lang", "exact"]
-    pairs = lexed.select(*key, F.explode("pairs").alias("pair")).join(permitted, ["lang", "pair"], "left_anti").select(*key, F.lit("pair").alias("kind"), F.lit(0).alias("pos"), F.lit(0).alias("step"))
-    nesting = lexed.select(*key, F.explode("brackets").alias("b")).select(*key, F.lit("nesting").alias("kind"), "b.pos", "b.step")
-    shapes = lexed.select(*key, F.explode("shapes").alias("shape"))
-    statements = shapes.mapInArrow(_unproduced, shapes.schema).select(*key, F.lit("statement").alias("kind"), F.lit(0).alias("pos"), F.lit(0).alias("step"))
-    off = pairs.unionByName(nesting).unionByName(statements)
+    rows = known.mapInArrow(_lex, _FOUND).select("graphId", "path", "lang", "exact", F.explode("found").alias("f")).select("graphId", "path", "lang", "exact", "f.*")
+    grammar = [(lang, "pair", p) for lang in LANGUAGES for p in sorted(G.permitted_pairs(lang))]  # fixed by the grammars: some thousand rows
+    permitted = F.broadcast(spark.createDataFrame(grammar, "lang string, kind string, item string"))
+    off = rows.join(permitted, ["lang", "kind", "item"], "left_anti")
     depth = Window.partitionBy("graphId", "path", "kind").orderBy("pos", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     judged = off.withColumn("depth", F.sum("step").over(depth))
     per_file = judged.groupBy("graphId", "path", "lang").agg(
