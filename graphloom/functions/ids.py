@@ -18,6 +18,8 @@ _V = "|".join(VALID_PREFIXES)
 # Lazily skips foreign segments up to the first valid one, then takes the innermost of a run of valid ones.
 PREFIX_RE = rf"(?s)^(?:[^:]+:)*?(?:(?:{_V}):)*({_V}):(.*)$"
 FOREIGN_RE = r"^(?:[^:]+:)+"
+# Most ids are spelled well; one anchored look tells them from those that need the searching pattern.
+CLEAN_RE = rf"^(?:{_V}):(?!(?:{_V}):)"
 
 
 def trim_ws(c: Column) -> Column:
@@ -25,7 +27,7 @@ def trim_ws(c: Column) -> Column:
 
 
 def has_prefix(trimmed: Column) -> Column:
-    return trimmed.rlike(PREFIX_RE)
+    return F.when(trimmed.rlike(CLEAN_RE), True).otherwise(trimmed.rlike(PREFIX_RE))
 
 
 def slug(c: Column) -> Column:
@@ -53,9 +55,11 @@ def with_repaired_id(
     path, label = F.coalesce(F.col(file_path), F.lit("")), F.coalesce(F.col(name), F.lit(""))
     kind = F.coalesce(F.lower(F.col(node_type)), F.lit(""))
     staged = df.withColumn("_t", trim_ws(F.col(node_id))).withColumns(
-        {"_has": has_prefix(F.col("_t")), "_kind": kind, "_exp": expected_prefix(F.col(node_type)), "_canon": F.regexp_replace("_t", PREFIX_RE, "$1:$2")}
+        {"_clean": F.col("_t").rlike(CLEAN_RE), "_kind": kind, "_exp": expected_prefix(F.col(node_type))}
     )
-    staged = staged.withColumns({"_rest": F.regexp_replace("_t", FOREIGN_RE, ""), "_parts": F.split("_canon", ":")})
+    staged = staged.withColumn("_canon", F.when(F.col("_clean"), F.col("_t")).otherwise(F.regexp_replace("_t", PREFIX_RE, "$1:$2")))
+    # Where the searching pattern does not match, it replaces nothing and the text has no valid prefix.
+    staged = staged.withColumns({"_has": F.col("_clean") | F.col("_canon").rlike(CLEAN_RE), "_rest": F.when(F.col("_clean"), F.col("_t")).otherwise(F.regexp_replace("_t", FOREIGN_RE, "")), "_parts": F.split("_canon", ":")})
     step = (F.col("_kind") == "step") & (path != "")
     flow_of = F.when(F.size("_parts") > 2, F.concat(F.element_at("_parts", F.greatest(F.size("_parts") - 1, F.lit(1))), F.lit(":"))).otherwise(F.lit(""))
     made = (
@@ -68,7 +72,7 @@ def with_repaired_id(
         .when(F.col("_exp").isNotNull(), F.concat("_exp", F.lit(":"), F.col("_rest")))
         .otherwise(F.col("_t"))
     )
-    return staged.withColumn(out, made).drop("_t", "_has", "_kind", "_exp", "_canon", "_rest", "_parts")
+    return staged.withColumn(out, made).drop("_t", "_has", "_clean", "_kind", "_exp", "_canon", "_rest", "_parts")
 
 
 def with_repaired_ref(df: DataFrame, ref: str, out: str) -> DataFrame:
@@ -78,7 +82,7 @@ def with_repaired_ref(df: DataFrame, ref: str, out: str) -> DataFrame:
         df.withColumn("_t", trim_ws(F.col(ref)))
         .withColumn(
             out,
-            F.when(t == "", t).when(has_prefix(t), F.regexp_replace(t, PREFIX_RE, "$1:$2"))
+            F.when(t == "", t).when(t.rlike(CLEAN_RE), t).when(t.rlike(PREFIX_RE), F.regexp_replace(t, PREFIX_RE, "$1:$2"))
             .when(t.isNotNull(), F.concat(F.lit("file:"), F.regexp_replace(t, FOREIGN_RE, ""))),
         )
         .drop("_t")

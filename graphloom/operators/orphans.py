@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.ids import has_prefix, trim_ws, with_repaired_id, with_repaired_ref
 
 #: Parent rows that one range should hold, and references that one salt of a range should get.
-PARENTS_PER_RANGE = 100_000
+PARENTS_PER_RANGE = 25_000
 REFS_PER_SALT = 400_000
 MAX_RANGES = 1 << 14
 
@@ -70,7 +70,8 @@ def classify_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     spark = refs.sparkSession
     n_parents = nodes.count()
-    n_ranges = int(min(MAX_RANGES, max(4, -(-n_parents // PARENTS_PER_RANGE))))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_ranges = int(min(MAX_RANGES, max(4 * tasks, -(-n_parents // PARENTS_PER_RANGE))))
     in_range = lambda d: F.pmod(F.shiftrightunsigned(d, 33), F.lit(n_ranges)).cast("int")
     g = F.coalesce(F.col("graphId"), F.lit("\u0000"))
 
@@ -119,7 +120,7 @@ def classify_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     else:
         directory, rows = directory.withColumn("salt", F.lit(0)), rows.withColumn("salt", F.lit(0))
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_ranges + sum(s - 1 for _, s in hot))
+    tasks = max(tasks, (n_ranges + sum(s - 1 for _, s in hot)) // 4)
     moment_type = dict(refs.dtypes)["moment"]
     return (
         directory.unionByName(rows)
