@@ -73,6 +73,7 @@ class SnapshotIndex:
             F.when(F.col("old_row").isNull(), "added").when(F.col("new_row").isNull(), "removed").when(~undecided & (F.col("old_hash") != F.col("new_hash")), "changed"),
         ).where(F.col("change").isNotNull()).select("graphId", "filePath", "change")
         changes = sure.unionByName(self._by_value(pairs.where(undecided)))
+        changes = cut_lineage(changes)  # the rounds' plans must not pile up
         kept = self.index.join(graphs, "graphId", "left_anti")
         self.index = cut_lineage(kept.unionByName(new).repartition(self.buckets, "bucket"))
         return changes.select("graphId", F.lit(snapshot_no).cast("int").alias("snapshot_no"), "filePath", "change")
