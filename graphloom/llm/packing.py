@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SHARD_ITEMS = 4000
 #: First documents tried at each level of the search, largest first, before the pair that ends a filling.
 BRANCHES = 6
+#: Tasks at most that pack; each takes its shards one after another.
+MOST_TASKS = 20_000
 
 
 def byte_tokens(text: F.Column) -> F.Column:
@@ -171,7 +173,9 @@ def pack_documents(documents: DataFrame, specs: DataFrame) -> DataFrame:
     items = documents.where("text is not null").select("doc_id", byte_tokens(F.col("text")).alias("tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
     if not caps:
         return documents.sparkSession.createDataFrame([], _OUT)
-    return items.groupBy("shard").applyInPandas(_pack_shard(caps), _OUT)
+    # A given number of partitions, as packing takes time out of proportion to the few bytes that would be coalesced.
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(shards, MOST_TASKS))
+    return items.repartition(parts, "shard").groupBy("shard").applyInPandas(_pack_shard(caps), _OUT)
 
 
 def split_documents(packed: DataFrame) -> DataFrame:
