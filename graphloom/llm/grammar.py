@@ -37,7 +37,7 @@ JAVA_WORDS = (
     | dict.fromkeys(("class", "interface", "enum"), "c") | dict.fromkeys(("extends", "implements", "throws"), "x")
     | dict.fromkeys(("if", "while", "switch", "synchronized"), "I") | dict.fromkeys(("do", "try", "finally"), "D")
     | dict.fromkeys(("return", "throw", "assert"), "R") | dict.fromkeys(("break", "continue"), "b") | dict.fromkeys(("const", "goto"), "E")
-    | {"for": "F", "else": "L", "catch": "C", "case": "a", "default": "d", "new": "u", "instanceof": "o", "package": "k", "import": "m"}
+    | {"for": "F", "else": "L", "catch": "C", "case": "a", "default": "d", "new": "u", "instanceof": "O", "package": "k", "import": "m"}
 )
 GO_WORDS = dict.fromkeys(("break", "continue", "goto", "fallthrough"), "b") | {
     "func": "f", "package": "k", "import": "m", "type": "y", "var": "v", "const": "v", "struct": "S", "interface": "S", "map": "M", "chan": "H",
@@ -53,7 +53,7 @@ _OPS = {
     "js": [("A", "=>"), ("~", r"\.\.\."), ("p", r"\+\+|--"), ("=", r"(?:\*\*|<<|>>>?|&&|\|\||\?\?|[-+*/%&|^])?=(?!=)"), ("o", r"===?|!==?|<=|>=|<<|>>>?|&&|\|\||\?\?|\*\*|[/%<>&|^]"), ("*", r"\*"), ("+", r"[-+]"), ("!", r"[!~]"), (".", r"\?\.(?!\d)|\.")],
     "java": [("A", "->"), ("~", r"\.\.\."), ("E", r"===|!==|=>"), (".", r"::|\."), ("p", r"\+\+|--"), ("=", r"(?:<<|>>>?|[-+*/%&|^])?=(?!=)"), ("o", r"==|!=|<=|>=|<<|>>>?|&&|\|\||[/%<>&|^]"), ("*", r"\*"), ("+", r"[-+]"), ("!", r"[!~]")],
     "go": [("~", r"\.\.\."), ("E", r"===|!==|=>"), ("p", r"\+\+|--"), ("=", r":=|(?:<<|>>|&\^|[-+*/%&|^])?=(?!=)"), ("o", r"==|!=|<=|>=|<-|<<|>>|&\^|&&|\|\||[/%<>|]"), ("*", r"\*"), ("+", r"[-+]"), ("!", r"[!^&]"), (".", r"\."), ("o", r"~")],
-    "py": [("A", "->"), ("~", r"\.\.\."), ("w", ":="), ("=", r"(?:\*\*|//|<<|>>|[-+*/%&|^@])?=(?!=)"), ("o", r"==|!=|<=|>=|<<|>>|//|[/%<>&|^@]"), ("*", r"\*\*?"), ("+", r"[-+]"), ("!", r"~"), (".", r"\.")],
+    "py": [("A", "->"), ("~", r"\.\.\."), ("w", ":="), ("=", r"(?:\*\*|//|<<|>>|[-+*/%&|^@])?=(?!=)"), ("o", r"==|!=|<=|>=|<<|>>|//|[/%<>&|^]"), ("*", r"\*\*?"), ("+", r"[-+]"), ("!", r"~"), (".", r"\.")],
 }
 
 _REGEX = r"/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
@@ -88,7 +88,7 @@ def _master(lang: str) -> re.Pattern:
         prefix = r"(?:[rRbBuUfF]|[rR][bBfF]|[bBfF][rR])?"
         body = (
             rf'(?P<comment>\#[^\n]*|\\\r?\n)|(?P<s>{prefix}(?:"""(?:\\(?:.|\n)|[^\\])*?"""|\'\'\'(?:\\(?:.|\n)|[^\\])*?\'\'\'|{_DQ}|{_SQ}))'
-            rf"|(?P<mem>\.[ \t]*(?:{_IDENT}))|(?P<n>{_NUM})|(?P<id>{_IDENT})|{ops}"
+            rf"|(?P<mem>\.[ \t]*(?!import\b)(?:{_IDENT}))|(?P<n>{_NUM})|(?P<id>{_IDENT})|{ops}"
         )
     return re.compile(f"{conflict}|{body}{tail}", re.S)
 
@@ -96,6 +96,7 @@ def _master(lang: str) -> re.Pattern:
 _MASTER = {k: _master(k) for k in _OPS}
 _WORDS = {"js": JS_WORDS, "java": JAVA_WORDS, "go": GO_WORDS, "py": PY_WORDS}
 _OP_LETTER = {lang: {f"op{i}": letter for i, (letter, _) in enumerate(ops)} for lang, ops in _OPS.items()}
+_RECORD = re.compile(r"\s+[A-Z]\w*\s*(?:<[^>{;]*>\s*)?\(")
 _JSON = re.compile(r'(?P<s>"(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})|[^"\\\x00-\x1f])*")|(?P<n>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?(?![\w.]))|(?P<l>true|false|null)|(?P<br>[()\[\]{},:])|(?P<ws>[ \t\r\n]+)|(?P<other>.)', re.S)
 
 
@@ -112,7 +113,7 @@ def lex(lang: str, text: str) -> str:
         if k == "ws":
             continue
         if k == "id":
-            out.append(words.get(m[0], "i"))
+            out.append("c" if m[0] == "record" and base == "java" and _RECORD.match(text, m.end()) else words.get(m[0], "i"))
         elif k == "br":
             out.append(m[0] if m[0] != "#" else ERROR)
         elif k == "mem":
@@ -234,17 +235,17 @@ def permitted_pairs(lang: str) -> frozenset[str]:
             ("IFC", "(u" + "{"), ("F", "u("), ("LD", stmt), ("C", "{("), ("b", name + ";N}$"), ("a", start), ("d", ":" + start + "v" + words), ("f", name + "(*"),
             ("c", name + "{x" + words), ("x", start), (name + ")}", "x"), ("m", name + "{*s(.t"), ("X", "{*vfcdymjweI=" + name), ("e", name), (";", "()"),
             (name, "iwjyfcvnse{[#*@" if lang == "ts" else "fns{[*"), ("wjy", "iwjyfcvs{[*@u+xe"), ("y", "f(i"), ("i", "w"), ("}", "w" + stmt + words), (")", stmt + words),
-            ("w", "*" + words + start), ("*", "wi[N(s" + words), (".", "i("), ("@", "i("), ("p!", end), ("}", "$"), ("N", "].o=:?A*"),
+            ("w", "*" + words + start), ("*", "wi[N(s" + words), (".", "i("), ("@", "i("), ("p!", end), ("}", "$"), ("N", "].o=:?A*"), ("d", "},"), ("u", "*"),
         ]
         if lang == "ts":
-            rules += [(":", "o"), ("i]})s", "w"), ("!", ".)];,:([}N$o?"), ("o", "N"), ("i", "?"), ("j", "v")]
+            rules += [(":", "o"), ("i]})s", "w"), ("u", ";,)}]N=o{$"), ("?", "],"), ("!", ".)];,:([}N$o?"), ("o", "N"), ("i", "?"), ("j", "v")]
         return _pairs(*rules)
     if lang == "java":
         start = "ins(up+!I@{["
         end = "ins)]}p"
         stmt = start + "jcRIFLDCbad@;}mk$xf"
         rules = [
-            ("^", "kmjc@;$" + "i"), (";{}", stmt), (end, "o+*=A?,:;.)]}([p{~"), ("(", start + ")jF;"), ("[", start + "]"), ("o+=A?,:*!u~", start + "j"), ("u", "i@("), (":", stmt),
+            ("^", "kmjc@;$" + "i"), (";{}", stmt), (end, "o+*=A?,:;.)]}([p{~O"), ("O", "i@j("), ("(", start + ")jF;"), ("[", start + "]"), ("o+=A?,:*!u~", start + "j"), ("u", "i@("), (":", stmt),
             ("j", "jicI@{uof*"), ("c", "i"), ("x", "i@"), ("i)]}", "xi"), ("i", "is{[jo@A~"), ("@", "ijc@(,)xsI;}*"), (")", start + stmt + "A"), ("]", "i"), ("IFC", "("), ("I", "i"), ("D", "{(" + stmt), ("L", stmt),
             ("R", start + ";"), ("b", "i;"), ("a", start + "j"), ("d", ":Ai"), ("k", "i"), ("m", "ij"), (".", "iu*c"), ("*", ";"), ("A", start + "{R"), ("}", "$" + "A"), (";", "$)"), ("p", end), (",", "}jd"), ("~", "i"), ("i", "$"), ("o", "o"),
         ]
@@ -256,7 +257,7 @@ def permitted_pairs(lang: str) -> frozenset[str]:
         rules = [
             ("^", "kN;"), ("N;{}", stmt), (end + "bR", "N;$}"), (end, "o+*=,:;.)]}([pN!{"), ("(", start + ")vN"), ("[", start + "]:~"), ("o+=,:*!u~", start + ")"), (",", start + "])}"), (":", stmt + "]"), ("=", "u"),
             ("i)]}", "ifMSH*[({ns~!ou+"), ("M", "["), ("S", "{"), ("H", start), ("f", "i("), ("km", "is(.+"), ("m", "o."), ("v", "i("), ("y", "i("), ("I", start + "!"), ("F", start + "{;"), ("W", start + "{;"), ("L", "I{"), ("R", start + "N;}"), ("G", start), ("b", "i"),
-            ("a", start), ("d", ":"), (".", "i("), ("s", "N)"), ("}", "L(,)"), (";", start + "{"), ("]", start), (")", start),
+            ("a", start), ("d", ":"), (".", "i("), ("s", "N)"), ("}", "L(,)"), ("N", ")"), ("(", "y"), ("y", ")"), (";", start + "{"), ("]", start), (")", start),
         ]
         return _pairs(*rules)
     start, end = "ins([{l+!u~*Y", "ins)]}~"
@@ -315,14 +316,14 @@ def _js(ts: bool) -> dict[str, re.Pattern]:
     prim = rf"(?:{fn}|{cls}|{nm}|[nsrt]|P{ann + '(?=A)' if ts else ''}|P|K|B|m(?=[P.]))"
     bang = "!?" if ts else ""
     cast = rf"(?:w{typ})*" if ts else ""
-    operand = rf"(?:(?:[u+!py~]|y)*{prim}{bang}(?:(?:\.i|K|P|t){bang})*p?{cast})"
+    operand = rf"(?:(?:u\*|[u+!py~])*{prim}{bang}(?:(?:\.i|K|P|t){bang})*p?{cast})"
     e = rf"(?:{operand}(?:[o+*=A]{operand})*(?:\?{operand}(?:[o+*=A]{operand})*(?:\?{operand}:{operand})?:{operand}(?:[o+*=A]{operand})*)*)"
     bind = rf"(?:(?:{nm}|K|B){ann}(?:={e})?)"
     param = rf"(?:(?:@{nm}P?)*j*~?(?:{nm}|K|B)\??{ann}(?:={e})?)"
     member_name = rf"(?:{nm}|[snK]|[vRuoIDbfcxFLCadmXe])"
     member = rf"(?:(?:@{nm}(?:\.i)*P?N*)*(?:[jyw](?=[^P=;:?!N]))*\*?{member_name}[?!]?(?:P{ann}(?:B|(?=[;N]|$))|{ann}(?:={e})?(?=[;N]|$))|j?B)"
     prop = rf"(?:~{e}|(?:[jy](?=[^P:,]))*\*?{member_name}(?:P{ann}B|:{e}|={e})?)"
-    ts_decl = rf"j*(?:w{nm}(?:x{nm}(?:\.i)*(?:,{nm})*)?B|w{nm}={typ}|v?e{nm}B|w[si]B|wB)" if ts else r"(?!)"
+    ts_decl = rf"j*(?:w{nm}(?:x{nm}(?:\.i)*(?:,{nm})*)?B|w{nm}={typ}|v?e{nm}B|w[si]B|wB|[iw]sB?)" if ts else r"(?!)"
     decl = rf"(?:{fn}|{cls}|{ts_decl}|v{bind}(?:,{bind})*)"
     names = "B"
     impex = (
@@ -332,7 +333,7 @@ def _js(ts: bool) -> dict[str, re.Pattern]:
     simple = rf"(?:{impex}|{decl}|R(?:{e}(?:,{e})*)?|b{nm}?|{e}(?:,{e})*)"
     seq = rf"(?>[;N]+|{head}|(?:{fn}|{cls}|{ts_decl}|B)|(?:X|Xd)(?:{fn}|{cls}|{ts_decl})|{simple}(?=[;NL]|$|I(?<=B)))*+"
     arg = rf"(?>(?:{e}|{param}|{typ if ts else '(?!)'})(?=N*(?:,|$)))"
-    item = rf"(?>(?:{e}|{bind})(?=N*(?:,|$)))"
+    item = rf"(?>(?:{e}|{bind}|{typ + '[?]?' if ts else '(?!)'})(?=N*(?:,|$)))"
     lists = {
         "(": rf"(?:[N]*(?:{arg}(?:,{arg})*+,?|v(?:{nm}|K|B)[wo]{e}|(?:v{bind}(?:,{bind})*|{e}(?:,{e})*)?;(?:{e})?;(?:{e}(?:,{e})*)?|(?:{nm}|K|B)[wo]{e})?N*)",
         "[": rf"(?:N*(?:,|{item}?(?:,{item}?)*+{'|' + nm + 'o?' + typ + '|' + nm + ':' + typ if ts else ''})N*)",
@@ -351,9 +352,10 @@ def _java() -> dict[str, re.Pattern]:
     lam = r"(?:(?:i|P)A)"
     prim = r"(?:i|[ns]|P|u(?:i(?:\.i)*)(?:PB?|K+B?)|IP(?=B)B|B)"
     operand = rf"(?:(?:[+!p]|P(?=[insPu!]))*{lam}*(?:{prim})(?:\.i|K|P|\.u|\.c)*p?)"
-    e = rf"(?:{operand}(?:(?:[o+*=]|o)+{operand})*(?:\?{operand}(?:[o+*=]{operand})*:{operand}(?:[o+*=]{operand})*)*)"
+    chain = rf"(?:{operand}(?:[o+*=]+{operand}|Oj?{typ}(?:i(?=[o)?:;,]|$)|P)?)*)"
+    e = rf"(?:{chain}(?:\?{chain}:{chain})*)"
     var = rf"(?:(?:j|{ann})*{typ}i(?:K)*(?:={e})?(?:,i(?:K)*(?:={e})?)*)"
-    typedecl = rf"(?:(?:j|{ann})*@?ciP?(?:x{typ}(?:,{typ})*|i{typ}(?:,{typ})*)*B|(?:j|{ann})*iiP(?:x{typ}(?:,{typ})*)?B)"
+    typedecl = rf"(?:(?:j|{ann})*@?ciP?(?:x{typ}(?:,{typ})*|i{typ}(?:,{typ})*)*B)"
     head = rf"(?:IP|FP|L|DP?|CP|i:|a{e}(?:,{e})*[:A]|a(?:{var})[:A]|d[:A])"
     simple = rf"(?:R(?:{e})?(?::{e})?|bi?|{var}|{e}|ii?{e})"
     seq = rf"(?>;|{head}|B|{typedecl}|{simple};|IB)*+"
@@ -410,10 +412,10 @@ def _python() -> dict[str, re.Pattern]:
     comp = rf"(?:y?I{operand}(?:,{operand})*,?o{operand}(?:{ops}{operand})*(?:I{operand}(?:{ops}{operand})*)*)"
     e = rf"(?:(?:Y(?:M)?)?{operand}(?:(?:{ops}|w){operand})*(?:I{operand}(?:{ops}{operand})*L{operand}(?:{ops}{operand})*)*)"
     es = rf"(?:{e}(?:,{e})*,?)"
-    simple = rf"(?:{es}(?::{e})?(?:={es})*|Y(?:M?{es})?|b|R(?:{es}(?:M{e})?)?|m(?:i(?:\.i)*(?:ai)?)(?:,i(?:\.i)*(?:ai)?)*|M[.~]*(?:i(?:\.i)*|(?:\.i)*)m(?:P|\*|i(?:ai)?(?:,i(?:ai)?)*)|ii={e}|ii)"
+    simple = rf"(?:{es}(?::{e})?(?:={es})*|Y(?:M?{es})?|b|R(?:{es}(?:M{e})?)?|m(?:i(?:\.i)*(?:ai)?)(?:,i(?:\.i)*(?:ai)?)*|M[.~]*(?:i(?:\.i)*|(?:\.i)*)m(?:P|\*|i(?:ai)?(?:,i(?:ai)?)*)|ii={e})"
     line = rf"{simple}(?:;{simple})*;?"
     compound = (
-        rf"(?:y?(?:I(?:{es}(?:a(?:{e}|P))?(?:,{e}a{e})*|{es}o{es}|i(?:\.i)*)?|L)|y?fiK?P(?:A{e})?|I{e}(?:,?\*?{e})*(?:I{e})?|L):"
+        rf"(?:y?(?:I(?:{es}(?:a(?:{e}|P))?(?:,{e}(?:a{e})?)*|{es}o{es}|i(?:\.i)*)?|L)|y?fiK?P(?:A{e})?|I{e}(?:,?\*?{e})*(?:I{e})?|L):"
     )
     stmt = rf"(?:@{e}N|{line}N|{compound}(?:{line}N|N>)|N)"
     arg = rf"(?>(?:{e}{comp}*|i=?{e}|i:{e}(?:={e})?|\*?\*?i(?::{e})?|i={e}|{e}w{e}|o|\*|i(?:ai)?|{e}a{e})(?=,|$))"

@@ -52,7 +52,7 @@ _WIKI_H = re.compile(r"^(={1,6})[ \t]*([^=\n].*?[^=\n]|[^=\s])[ \t]*\1[ \t]*$")
 _TEX_H = re.compile(r"\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph|title)\*?(?:\[[^\]]*\])?\{")
 _RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 _ITEM = re.compile(r"^([ \t]*)([-+*]|\d{1,9}[.)])[ \t]+(?:\[([ xX])\][ \t]+)?(.*)$")
-_WIKI_ITEM = re.compile(r"^(\*{2,}|#{1,}|[*#:;]{2,}|:+|;)[ \t]*([^\s*#:;|].*)$")
+_WIKI_ITEM = re.compile(r"^(\*{2,}|#{1,}|[*#:;]{2,}|:+|;)[ \t]+([^\s*#:;|].*)$")
 _QUOTE = re.compile(r"^ {0,3}((?:>[ ]?)+)(.*)$")
 _MD_ROW = re.compile(r"^[ \t]*\|?(.*\|.*?)\|?[ \t]*$")
 _MD_DELIM = re.compile(r"^[ \t]*\|?[ \t]*:?-{1,}:?[ \t]*(?:\|[ \t]*:?-{1,}:?[ \t]*)*\|?[ \t]*$")
