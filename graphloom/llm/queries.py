@@ -98,6 +98,7 @@ QUERIES = {
 }
 
 _PLACEHOLDERS = ", ".join("'" + x.replace("'", "''") + "'" for x in fusion.PLACEHOLDER_TEXTS)
+_TAGS = ", ".join(f"'{x}'" for x in fusion.PLACEHOLDER_TAGS)
 _EDGE = r"[\s.\-–—_*?!:<>\[\](){}]+"
 
 
@@ -109,7 +110,7 @@ _SUMMARY_OK = (
     f"coalesce(trim(summary) <> '' and {_core('summary')} not in ({_PLACEHOLDERS}) and {_core('summary')} is distinct from {_core('name')} and {_core('summary')} is distinct from {_core('filePath')}"
     f" and {_core('summary')} is distinct from {_core(chr(115) + 'plit_part(filePath, ' + repr('/') + ', -1)')} and not regexp_matches(trim(summary), '(…|\\.\\.+|[,;:(\\[–-])$'), false)"
 )
-_TAGS_OK = f"len(list_filter(coalesce(tags, []), lambda t: t is not null and {_core('t')} not in ({_PLACEHOLDERS}))) > 0"
+_TAGS_OK = f"len(list_filter(coalesce(tags, []), lambda t: t is not null and {_core('t')} not in ({_TAGS}))) > 0"
 ORACLE = {
     "p3_found": f"""with n as (select *, {repaired("id", "type", "filePath", "name")} as rid from nodes where trim(coalesce(id, '')) <> '')
       select graphId, rid as id, arg_max(node_row, arrivedAt) filter ({_SUMMARY_OK}) as summary_row, arg_max(node_row, arrivedAt) filter ({_TAGS_OK}) as tags_row
