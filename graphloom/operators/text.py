@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,15 +61,30 @@ def wikilinks(df: DataFrame, key: str, text: str) -> DataFrame:
 def greedy_bins(df: DataFrame, by: list[str], order: list[str], size: str, capacity: int) -> DataFrame:
     """Order-keeping bins: a bin closes when the next item would exceed the capacity; larger items stand alone.
 
-    The fold runs over the sorted items of a group, so groups must be of bounded size (files of a batch).
+    The rule depends on all items before, so a group is folded by one task; it streams the group's sorted rows with
+    two numbers of state and holds one Arrow batch, however large the group is. Null sizes count as 0.
     """
-    items = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("_size")))).alias("_i"))
-    zero = F.struct(F.lit(0).alias("bin"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("bins"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["used"] + x["_size"] <= capacity) | (F.size(acc["bins"]) == 0)
-        b = F.when(fits, acc["bin"]).otherwise(acc["bin"] + 1)
-        return F.struct(b.alias("bin"), F.when(fits, acc["used"] + x["_size"]).otherwise(x["_size"]).alias("used"), F.concat(acc["bins"], F.array(b)).alias("bins"))
-
-    folded = items.withColumn("_b", F.aggregate("_i", zero, step, lambda a: a["bins"]))
-    return folded.select(*by, F.explode(F.arrays_zip(F.col("_i").alias("item"), F.col("_b").alias("bin"))).alias("z")).select(*by, "z.item.*", F.col("z.bin").alias("bin")).withColumnRenamed("_size", size)
+    cols = [*by, *order, size]
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in cols) + ", bin int"
+    n_by, at_size = len(by), len(cols) - 1
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, bin_no, used = None, 0, 0
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(n_by)), strict=True)) if n_by else [()] * batch.num_rows
+            out = []
+            for key, n in zip(keys, batch.column(at_size).to_pylist(), strict=True):
+                n = n or 0
+                if group is None or key != group[0]:
+                    group, bin_no, used = (key,), 0, n
+                elif used + n <= capacity:
+                    used += n
+                else:
+                    bin_no, used = bin_no + 1, n
+                out.append(bin_no)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*cols, "bin"])
+
+    rows = df.select(*cols)
+    rows = rows.repartition(*by) if by else rows.coalesce(1)
+    return rows.sortWithinPartitions(*by, *order).mapInArrow(fold, schema)

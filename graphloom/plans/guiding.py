@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom import schema as S
@@ -58,10 +58,10 @@ def z7_qualifiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def u5_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Deliveries of one node whose tags share at least half."""
+    """Deliveries of one node whose tags share at least half with those of the delivery before."""
     n = table(spark, d, "nodes").where("size(tags) > 0").select("graphId", "id", "node_row", F.array_distinct("tags").alias("tags"))
-    o = n.select("graphId", "id", F.col("node_row").alias("other"), F.col("tags").alias("t2"))
-    p = n.join(o, ["graphId", "id"]).where("node_row < other")
+    w = Window.partitionBy("graphId", "id").orderBy("node_row")
+    p = n.withColumns({"other": F.lag("node_row").over(w), "t2": F.lag("tags").over(w)}).where("other is not null")
     return p.select("node_row", "other", F.round(consensus.jaccard(F.col("tags"), F.col("t2")), 6).alias("jaccard")).where("jaccard >= 0.5")
 
 
@@ -118,7 +118,8 @@ ORACLE = {
       select graphId, path, grp, ((row_number() over (partition by graphId, grp order by path) - 1) // 20)::int as chunk from g""",
     "j11_prefix": "with r as (select distinct graphId, unnest(regexp_extract_all(content, '(?m)^import ([\\w.]+);', 1)) as ref from source_files where path like '%.java'), p as (select distinct regexp_extract(content, '(?m)^package ([\\w.]+);', 1) as prefix from source_files where path like '%.java') select graphId, ref, arg_max(prefix, length(prefix)) as prefix from r join p on p.prefix <> '' and (ref = prefix or starts_with(ref, prefix || '.')) group by 1, 2",
     "z7_qualifiers": _B + f", w as (select graphId, unnest(list_distinct(regexp_extract_all(lower(summary), '\\b({_QUAL})\\b', 1))) as word from n) select graphId, word, count(*) as n from w group by 1, 2",
-    "u5_jaccard": "with x as (select graphId, id, node_row, list_distinct(list_transform(tags, lambda t: coalesce(t, chr(0)))) as t from nodes where len(tags) > 0), p as (select a.node_row, b.node_row as other, len(list_intersect(a.t, b.t)) as i, len(a.t) as la, len(b.t) as lb from x a join x b on a.graphId = b.graphId and a.id = b.id and a.node_row < b.node_row) select node_row, other, round(i / (la + lb - i), 6) as jaccard from p where i / (la + lb - i) >= 0.5",
+    "u5_jaccard": """with x as (select node_row, list_distinct(list_transform(tags, lambda t: coalesce(t, chr(0)))) as t, lag(node_row) over w as other, lag(list_distinct(list_transform(tags, lambda t: coalesce(t, chr(0))))) over w as u from nodes where len(tags) > 0 window w as (partition by graphId, id order by node_row)),
+      p as (select node_row, other, len(list_intersect(t, u)) as i, len(t) as a, len(u) as b from x where other is not null) select node_row, other, round(i / (a + b - i), 6) as jaccard from p where i / (a + b - i) >= 0.5""",
     "o3_truncated": _B + _DEG + ", bo as (select graphId, source as id, target as other from e union select graphId, target, source from e) select bo.graphId, bo.id, bo.other, y.degree from bo join dg x on x.graphId = bo.graphId and x.id = bo.id and x.degree > 50 join dg y on y.graphId = bo.graphId and y.id = bo.other qualify row_number() over (partition by bo.graphId, bo.id order by y.degree desc, bo.other) <= 50",
     "g20_backlinks": _B + " select graphId, target, count(*) as n, string_agg(distinct source, '|' order by source) as sources from e where type in ('related', 'cites', 'builds_on') group by 1, 2",
     "r16_mutual": _B + " select distinct a.graphId, a.source, a.target from e a join e b on b.graphId = a.graphId and b.source = a.target and b.target = a.source where a.source < a.target",

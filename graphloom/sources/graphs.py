@@ -77,6 +77,11 @@ def relative_path(path: Column, root: str) -> Column:
 
 
 def scan_digest(files: DataFrame) -> DataFrame:
-    """Digest per graph over its paths and contents in path order; the lists hold two digests a file, not the texts."""
+    """Digest per graph over its paths and contents: of 4,096 parts by path digest, each in path order, then of the parts.
+
+    Splitting by path digest keeps the list of any one task at a 4,096th of a graph; it holds digests, not texts.
+    """
     f = files.where("path is not null").groupBy("graphId", "path").agg(F.max(F.sha2(F.coalesce("content", F.lit("")), 256)).alias("h"))
-    return f.groupBy("graphId").agg(F.count("*").alias("n_files"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: F.concat(x["path"], F.lit(":"), x["h"])), "\n"), 256).alias("digest"))
+    joined = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda x: F.concat(x[key], F.lit(":"), x["h"])), "\n"), 256)
+    parts = f.groupBy("graphId", F.substring(F.sha2("path", 256), 1, 3).alias("part")).agg(F.count("*").alias("n"), joined("path").alias("h"))
+    return parts.groupBy("graphId").agg(F.sum("n").alias("n_files"), joined("part").alias("digest"))
