@@ -104,14 +104,20 @@ def _window_minima(key: np.ndarray) -> np.ndarray:
     return np.unique(np.where(flat[first] < flat[second], first, second))
 
 
-_STARTS = "rep long, pos int, run long, before int, gap int, after int, gap2 int"
+_STARTS = "k1 long, k2 long, pos int, run long, before int, gap int, after int, gap2 int"
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Starts of each text; of equal texts a task gives those of one only, so a text of many copies is never hot."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
-        rep = batch.column("rep").to_numpy()
+        k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
         out: list[list[np.ndarray]] = []
         for i, text in enumerate(batch.column("text")):
+            key = (int(k1[i]), int(k2[i]))
+            if key in seen:
+                continue
+            seen.add(key)
             codes = np.frombuffer(text.as_py().encode("utf-32-le", "surrogatepass"), np.uint32)
             # Long texts go block by block; blocks overlap by what a choice and its run need.
             ps, hs = [], []
@@ -126,10 +132,10 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(p):
                 short = (h & 0x7FFFFFFF).astype(np.int32)
                 gap = np.diff(p)
-                out.append([np.full(len(p), rep[i]), p.astype(np.int32), h, np.r_[np.int32(-1), short[:-1]], np.r_[0, gap].astype(np.int32), np.r_[short[1:], np.int32(-1)], np.r_[gap, 0].astype(np.int32)])
+                out.append([np.full(len(p), k1[i]), np.full(len(p), k2[i]), p.astype(np.int32), h, np.r_[np.int32(-1), short[:-1]], np.r_[0, gap].astype(np.int32), np.r_[short[1:], np.int32(-1)], np.r_[gap, 0].astype(np.int32)])
         if out:
             cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["rep", "pos", "run", "before", "gap", "after", "gap2"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k1", "k2", "pos", "run", "before", "gap", "after", "gap2"])
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,24 +170,25 @@ class SharedSpans:
     """Passages of at least SPAN characters that texts of different classes share.
 
     documents: doc_id, text. Null texts and texts shorter than SPAN share nothing. ``members`` has the class of
-    each document (its smallest doc_id; equal texts are one class), ``links`` the verified class pairs with the
+    each document (its smallest doc_id; texts of equal 128-bit digest are one class), ``links`` the verified class pairs with the
     extent of each passage in both.
     """
 
     def __init__(self, documents: DataFrame):
         d = documents.select("doc_id", "text").where(F.char_length("text") >= SPAN)
-        key = [F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit("#")).alias("k2"), F.char_length("text").alias("k3")]
+        key = [F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit("#")).alias("k2")]
         ids = d.select("doc_id", *key)
-        reps = ids.groupBy("k1", "k2", "k3").agg(F.min("doc_id").alias("rep"))
-        self.members = cut_lineage(ids.join(reps, ["k1", "k2", "k3"]).select("doc_id", "rep"))
+        reps = ids.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+        self.members = cut_lineage(ids.join(reps, ["k1", "k2"]).select("k1", "k2", "doc_id", "rep"))
         # Copies go through the pass too: leaving them out first would send every text through a shuffle.
         self.texts = d.select(F.col("doc_id").alias("rep"), "text")
-        starts = self.texts.mapInArrow(_starts, _STARTS)
-        # Runs of one document only are dropped where they are first brought together, then those of copies.
+        starts = d.select(*key, "text").mapInArrow(_starts, _STARTS)
+        # Runs of one class only are dropped where they are first brought together; then each class has its rows once.
         w = Window.partitionBy("run")
-        shared = starts.withColumns({"lo": F.min("rep").over(w), "hi": F.max("rep").over(w)}).where("lo <> hi").drop("lo", "hi")
-        copies = self.members.where("doc_id <> rep").select(F.col("doc_id").alias("rep"))
-        shared = shared.join(copies, "rep", "left_anti")
+        one = F.struct("k1", "k2")
+        shared = starts.withColumns({"lo": F.min(one).over(w), "hi": F.max(one).over(w)}).where("lo <> hi").drop("lo", "hi").distinct()
+        names = self.members.where("doc_id = rep").select("k1", "k2", "rep")
+        shared = shared.join(names, ["k1", "k2"]).drop("k1", "k2")
         self.shared = cut_lineage(shared)
         self.links = cut_lineage(self._verified())
 
