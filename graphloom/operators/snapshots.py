@@ -75,7 +75,7 @@ class SnapshotIndex:
         changes = sure.unionByName(self._by_value(pairs.where(undecided)))
         changes = cut_lineage(changes)  # the rounds' plans must not pile up
         kept = self.index.join(graphs, "graphId", "left_anti")
-        self.index = cut_lineage(kept.unionByName(new).repartition(self.buckets, "bucket"))
+        self.index = cut_lineage(kept.unionByName(new).repartition("bucket"))
         return changes.select("graphId", F.lit(snapshot_no).cast("int").alias("snapshot_no"), "filePath", "change")
 
     def _by_value(self, undecided: DataFrame) -> DataFrame:
