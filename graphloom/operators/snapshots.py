@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from graphloom.functions.paths import canonical_path
 from graphloom.session import cut_lineage
 
+#: Undecided rows (three short columns) that may be broadcast; beyond it both sides are shuffled.
+BROADCAST_ROWS = 100_000
 INDEX = "bucket int, graphId string, filePath string, hash string, fp_row long"
 CHANGES = "graphId string, snapshot_no int, filePath string, change string"
 
@@ -80,8 +82,10 @@ class SnapshotIndex:
 
     def _by_value(self, undecided: DataFrame) -> DataFrame:
         """Fetches the function sets of both rows of each undecided pair."""
-        sides = undecided.select("graphId", "filePath", F.explode(F.array("old_row", "new_row")).alias("fp_row"))
-        values = sides.join(self.source.select("fp_row", "functions"), "fp_row").select("graphId", "filePath", function_set(F.col("functions")).alias("fns"))
+        sides = cut_lineage(undecided.select("graphId", "filePath", F.explode(F.array("old_row", "new_row")).alias("fp_row")))
+        # Few pairs are undecided as a rule; counted to be few, they go to the values instead of the values to them.
+        few = sides.count() <= BROADCAST_ROWS
+        values = (F.broadcast(sides) if few else sides).join(self.source.select("fp_row", "functions"), "fp_row").select("graphId", "filePath", function_set(F.col("functions")).alias("fns"))
         return values.groupBy("graphId", "filePath").agg(F.min("fns").alias("a"), F.max("fns").alias("b")).where("a <> b").select("graphId", "filePath", F.lit("changed").alias("change"))
 
 
