@@ -446,8 +446,6 @@ def productions(lang: str) -> dict[str, re.Pattern]:
     return {"js": lambda: _js(False), "ts": lambda: _js(True), "java": _java, "go": _go, "py": _python, "json": lambda: _JSON_RULES}[lang]()
 
 
-_TIGHT = re.compile(r"N*([oA=?,.+*~])N*")
-_TIGHT_TS = re.compile(r"N+([oA=?:.*])|([oA=?:,.+*~])N+")
 
 
 @lru_cache(maxsize=200_000)

@@ -41,7 +41,6 @@ _NOWIKI = re.compile(r"<nowiki>(.*?)</nowiki>", re.S | re.I)
 _VERBATIM = re.compile(r"\\begin\{(verbatim\*?|lstlisting|minted|Verbatim|alltt)\}(?:\[[^\]\n]*\])?(?:\{[^}\n]*\})?(.*?)(?:\\end\{\1\}|\Z)", re.S)
 _VERB = re.compile(r"\\(?:verb\*?|lstinline)([^\sA-Za-z*{])(.*?)\1")
 _SPAN = re.compile(r"(?<!`)(`+)(?!`)((?:(?!\n[ \t]*\n).)+?)(?<!`)\1(?!`)", re.S)
-_INDENTED = re.compile(r"(?:\A|(?<=\n)[ \t]*\n)((?:(?: {4}|\t)[^\n]*\S[^\n]*(?:\n|\Z))+)")
 _DISPLAY = re.compile(r"\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\begin\{((?:equation|align|gather|multline|eqnarray|displaymath|math|flalign|alignat)\*?)\}(.*?)\\end\{\3\}", re.S)
 _MATHML = re.compile(r"<math\b[^<>]*>(.*?)</math>", re.S | re.I)
 _FORMULA = re.compile(r"(?<![\\$\w])\$(?=[^\s$])((?:\\.|[^\\$\n]){0,400}?[^\s\\$])\$(?![\d$A-Za-z])|\\\((.+?)\\\)")
@@ -54,7 +53,6 @@ _RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})
 _ITEM = re.compile(r"^([ \t]*)([-+*]|\d{1,9}[.)])[ \t]+(?:\[([ xX])\][ \t]+)?(.*)$")
 _WIKI_ITEM = re.compile(r"^(\*{2,}|#{1,}|[*#:;]{2,}|:+|;)[ \t]+([^\s*#:;|].*)$")
 _QUOTE = re.compile(r"^ {0,3}((?:>[ ]?)+)(.*)$")
-_MD_ROW = re.compile(r"^[ \t]*\|?(.*\|.*?)\|?[ \t]*$")
 _MD_DELIM = re.compile(r"^[ \t]*\|?[ \t]*:?-{1,}:?[ \t]*(?:\|[ \t]*:?-{1,}:?[ \t]*)*\|?[ \t]*$")
 _REFDEF = re.compile(r"^ {0,3}\[([^\]\n^]+)\]:[ \t]+(<?\S+>?)(?:[ \t]+[\"'(].*[\"')])?[ \t]*$")
 _NOTEDEF = re.compile(r"^ {0,3}\[\^([^\]\n]+)\]:[ \t]+(.*)$")
