@@ -7,8 +7,9 @@ the place whose 16-gram hashes lowest. The choice depends only on the characters
 that share SPAN characters share a start with its whole hashed run of RUN characters: the run and the stretch, with
 the two characters that tell a sentence start, fit into SPAN.
 
-Equal texts are one class and are compared once. Of a passage shared by two classes only the first common start
-is compared, and the exact check extends it to both sides on the characters themselves.
+Equal texts are one class and are compared once. Of a passage shared by two classes only the first and the last
+common start of each unbroken chain are compared, and the exact check extends them to both sides on the characters
+themselves. The two of one chain bound its stretch of that pair; nothing else fills a passage.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left.append(_common(la[::-1], lb[::-1]))
             right.append(_common(ra, rb))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("a", "pa", "b", "pb")] + [pa.array(left, pa.int32()), pa.array(right, pa.int32())], names=["a", "pa", "b", "pb", "l", "r"]
+            [batch.column(c) for c in ("a", "pa", "b", "pb", "first", "last")] + [pa.array(left, pa.int32()), pa.array(right, pa.int32())], names=["a", "pa", "b", "pb", "first", "last", "l", "r"]
         )
 
 
@@ -198,7 +199,7 @@ class SharedSpans:
         # A common start whose neighbours before and after are common too lies inside a passage: its ends tell all.
         first = ~((F.col("ba") == F.col("bb")) & (F.col("ga") == F.col("gb")) & (F.col("ga") > 0))
         last = ~((F.col("fa") == F.col("fb")) & (F.col("ha") == F.col("hb")) & (F.col("ha") > 0))
-        ends = a.join(b, "run").where((F.col("a") < F.col("b")) & (first | last)).select("a", "pa", "b", "pb")
+        ends = a.join(b, "run").where((F.col("a") < F.col("b")) & (first | last)).select("a", "pa", "b", "pb", first.alias("first"), last.alias("last"))
         spots = ends.select(F.col("a").alias("rep"), F.col("pa").alias("pos")).union(ends.select("b", "pb")).distinct()
         left, right = SPAN - RUN, SPAN - RUN
         near = spots.join(self.texts, "rep").select(
@@ -207,7 +208,7 @@ class SharedSpans:
         )
         na = near.select(F.col("rep").alias("a"), F.col("pos").alias("pa"), F.col("l").alias("la"), F.col("r").alias("ra"), F.col("m").alias("ma"))
         nb = near.select(F.col("rep").alias("b"), F.col("pos").alias("pb"), F.col("l").alias("lb"), F.col("r").alias("rb"), F.col("m").alias("mb"))
-        checked = ends.join(na, ["a", "pa"]).join(nb, ["b", "pb"]).where("ma = mb").select("a", "pa", "b", "pb", "la", "ra", "lb", "rb").mapInArrow(_extend, "a long, pa int, b long, pb int, l int, r int")
+        checked = ends.join(na, ["a", "pa"]).join(nb, ["b", "pb"]).where("ma = mb").select("a", "pa", "b", "pb", "first", "last", "la", "ra", "lb", "rb").mapInArrow(_extend, "a long, pa int, b long, pb int, first boolean, last boolean, l int, r int")
         return checked.where(F.col("l") + F.col("r") >= SPAN - RUN)
 
     def class_pairs(self) -> DataFrame:
@@ -223,16 +224,28 @@ class SharedSpans:
         within = same.select("rep", F.col("doc_id").alias("x")).join(same.select("rep", F.col("doc_id").alias("y")), "rep").where("x < y").select("x", "y")
         return across.union(within).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
+    def extents(self) -> DataFrame:
+        """a, start, stop, b, shift (place in b less place in a) of what each class pair shares, from verified ends only.
+
+        On one shift the ends of a class pair follow each other as chains: a first and a last common start with only
+        common starts between them, or one that is both. Runs overlap, so a chain has no gap.
+        """
+        w = Window.partitionBy("a", "b", "shift").orderBy("pa")
+        e = self.links.withColumn("shift", F.col("pb") - F.col("pa"))
+        e = e.withColumns({"start": F.col("pa") - F.col("l"), "stop": F.col("pa") + RUN + F.col("r")})
+        e = e.withColumns({"closes": F.lead(F.col("last") & ~F.col("first")).over(w), "end": F.lead("stop").over(w)})
+        stop = F.when(F.col("first") & ~F.col("last") & F.col("closes"), F.col("end")).otherwise(F.col("stop"))
+        return e.select("a", "start", stop.alias("stop"), "b", "shift")
+
     def passages(self) -> DataFrame:
-        """rep, start, stop of the maximal shared passages of each class, as places in code points."""
-        ends = self.links.select(F.col("a").alias("rep"), (F.col("pa") - F.col("l")).alias("start"), (F.col("pa") + RUN + F.col("r")).alias("stop"), F.lit(True).alias("sure")).union(
-            self.links.select("b", F.col("pb") - F.col("l"), F.col("pb") + RUN + F.col("r"), F.lit(True))
-        )
-        inner = self.shared.select("rep", F.col("pos").alias("start"), (F.col("pos") + RUN).alias("stop"), F.lit(False).alias("sure")).distinct()
+        """rep, start, stop of the shared passages of each class, as places in code points; those that touch are one."""
+        e = self.extents()
+        both = F.array(F.struct(F.col("a").alias("rep"), "start", "stop"), F.struct(F.col("b").alias("rep"), (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop")))
+        spans = e.select(F.inline(both)).distinct()
         w = Window.partitionBy("rep").orderBy("start", "stop")
-        spans = ends.union(inner).withColumn("reach", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        spans = spans.withColumn("reach", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
         spans = spans.withColumn("isle", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(w))
-        return spans.groupBy("rep", "isle").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.bool_or("sure").alias("sure")).where("sure").select("rep", "start", "stop")
+        return spans.groupBy("rep", "isle").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("rep", "start", "stop")
 
     def shares(self, documents: DataFrame) -> DataFrame:
         """doc_id, n_chars, shared_chars, share, n_twins (documents of equal text) of every document.

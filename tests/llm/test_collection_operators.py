@@ -152,6 +152,38 @@ def test_shares_of_a_planted_passage(spark):
     assert spans.shared_pairs(df.limit(0)).count() == 0
 
 
+def brute_chars(docs: dict[int, str]) -> dict[int, int]:
+    """Characters of each text that lie in a stretch of SPAN characters that another text has."""
+    owners: dict[str, set[int]] = {}
+    for d, t in docs.items():
+        for i in range(len(t) - spans.SPAN + 1):
+            owners.setdefault(t[i : i + spans.SPAN], set()).add(d)
+    out = {}
+    for d, t in docs.items():
+        held = set()
+        for i in range(len(t) - spans.SPAN + 1):
+            if len(owners[t[i : i + spans.SPAN]]) > 1:
+                held.update(range(i, i + spans.SPAN))
+        out[d] = len(held)
+    return out
+
+
+def test_a_short_run_of_a_third_text_does_not_lengthen_a_passage(spark):
+    rng = random.Random(7)
+    noise = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    a = noise(900)
+    docs = {1: a, 2: noise(80) + a[300:550] + noise(80), 3: noise(60) + a[500:640] + noise(60), 4: noise(60) + a[620:755] + noise(60)}
+    got = spans.repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == {(1, 300, 550), (2, 80, 330)}
+
+
+def test_shared_characters_are_those_of_brute_force(spark):
+    for seed in (1, 2):
+        docs = corpus(seed)
+        got = {r["doc_id"]: r["shared_chars"] for r in spans.shared_shares(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+        assert got == brute_chars(docs)
+
+
 def test_every_stretch_has_a_start_that_depends_on_it_alone():
     rng = np.random.default_rng(4)
     for _ in range(40):
