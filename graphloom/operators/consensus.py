@@ -38,15 +38,33 @@ def inverted_index(df: DataFrame, term: str, member: str, low: int, high: int) -
 
 
 def ranked_neighbours(df: DataFrame, scope: str, term: str, member: str, k: int, low: int = 2, high: int = 40) -> DataFrame:
-    """Members that share rare terms: sum of 10 / members-of-term over shared terms, best k per member.
+    """Best k others per member by what they share: sum of 10 / members-of-term over all shared terms.
 
-    Only terms with few members (low..high) link, so a common term makes no pairs.
+    Terms of low..high members make pairs. Commoner ones make none, yet count in full: they are added to the pairs that
+    rarer terms make, and members with the same common terms rank the others alike, so one list of k + 1 serves them all.
+    An other that is not in that list and shares no rarer term has k better ones. The lists cost a row for each two
+    combinations of common terms that meet in a term.
     """
     t = df.where(F.col(term).isNotNull()).select(scope, term, member).distinct()
-    size = t.groupBy(scope, term).agg(F.count("*").alias("df")).where(F.col("df").between(low, high))
-    t = t.join(size, [scope, term])
-    pairs = t.join(t.select(scope, term, F.col(member).alias("other")), [scope, term]).where(F.col(member) != F.col("other"))
-    scored = pairs.groupBy(scope, member, "other").agg(F.round(F.sum(10.0 / F.col("df")), 6).alias("score"))
+    size = t.groupBy(scope, term).agg(F.count("*").alias("df")).where(F.col("df") >= low)
+    t = t.join(size, [scope, term]).withColumn("w", 10.0 / F.col("df"))
+    rare = t.where(F.col("df") <= high).select(scope, term, member, "w")
+    common = t.where(F.col("df") > high).groupBy(scope, member).agg(F.array_sort(F.collect_list(F.struct(F.col(term).alias("term"), "w"))).alias("set"))
+
+    pairs = rare.join(rare.select(scope, term, F.col(member).alias("other")), [scope, term]).where(F.col(member) != F.col("other"))
+    pairs = pairs.groupBy(scope, member, "other").agg(F.sum("w").alias("rare"))
+    pairs = pairs.join(common, [scope, member], "left").join(common.select(scope, F.col(member).alias("other"), F.col("set").alias("theirs")), [scope, "other"], "left")
+    both = F.aggregate(F.array_intersect("set", "theirs"), F.lit(0.0), lambda s, x: s + x["w"])
+    by_rare = pairs.select(scope, member, "other", F.round(F.col("rare") + F.coalesce(both, F.lit(0.0)), 6).alias("score"))
+
+    firsts = common.withColumn("nth", F.row_number().over(Window.partitionBy(scope, "set").orderBy(member))).where(F.col("nth") <= k + 1)
+    terms = common.select(scope, "set").distinct().select(scope, "set", F.inline("set"))
+    met = terms.join(terms.select(scope, F.col("set").alias("theirs"), "term"), [scope, "term"]).groupBy(scope, "set", "theirs").agg(F.round(F.sum("w"), 6).alias("score"))
+    lists = met.join(firsts.select(scope, F.col("set").alias("theirs"), F.col(member).alias("other")), [scope, "theirs"])
+    lists = lists.withColumn("nth", F.row_number().over(Window.partitionBy(scope, "set").orderBy(F.desc("score"), "other"))).where(F.col("nth") <= k + 1)
+    by_common = common.join(lists.select(scope, "set", "other", "score"), [scope, "set"]).where(F.col(member) != F.col("other")).select(scope, member, "other", "score")
+
+    scored = by_rare.union(by_common).groupBy(scope, member, "other").agg(F.max("score").alias("score"))
     w = Window.partitionBy(scope, member).orderBy(F.desc("score"), "other")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
