@@ -89,6 +89,23 @@ def distances(edges: DataFrame, start: DataFrame, directed: bool = True, most: i
     return seen
 
 
+def containers(nodes: DataFrame, contains: DataFrame, kind: str = "file") -> DataFrame:
+    """graphId, id, file: the nearest node of that kind that contains each node, at any depth; ties to the smaller id.
+
+    The walk stops at the first such node, so it does not pass through one. A node met again is farther and is left
+    out, which also ends cycles.
+    """
+    step = cut_lineage(contains.select("graphId", F.col("source").alias("up"), F.col("target").alias("id")).distinct())
+    files = nodes.where(F.col("type") == kind).select("graphId", F.col("id").alias("up"))
+    seen = front = cut_lineage(step.join(files, ["graphId", "up"], "left_semi").groupBy("graphId", "id").agg(F.min("up").alias("file")))
+    step = cut_lineage(step.join(files, ["graphId", "up"], "left_anti"))
+    while not front.isEmpty():
+        below = step.join(front.select("graphId", F.col("id").alias("up"), "file"), ["graphId", "up"]).groupBy("graphId", "id").agg(F.min("file").alias("file"))
+        front = cut_lineage(below.join(seen, ["graphId", "id"], "left_anti"))
+        seen = cut_lineage(seen.union(front))
+    return seen
+
+
 def topological_levels(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """Level of each node when sources are peeled off again and again; nodes on or behind cycles have level -1."""
     e = cut_lineage(edges.where("source <> target").select("graphId", "source", "target").distinct())

@@ -91,8 +91,7 @@ def r12_owner(spark: SparkSession, d: str) -> DataFrame:
     g = Graphs(spark, d)
     c = g.edges.where("type = 'contains'")
     levels = traverse.topological_levels(g.nodes, c)
-    direct = c.join(g.nodes.where("type = 'file'").select("graphId", F.col("id").alias("source")), ["graphId", "source"], "left_semi").groupBy("graphId", F.col("target").alias("id")).agg(F.min("source").alias("file"))
-    return levels.join(direct, ["graphId", "id"]).groupBy("graphId", "level").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"))
+    return levels.join(traverse.containers(g.nodes, c), ["graphId", "id"]).groupBy("graphId", "level").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"))
 
 
 QUERIES = {f.__name__: f for f in (r9_tour, r5_guide, r20_neighbours, r21_noncode, j11_prefix, c1_calls, z7_qualifiers, u5_jaccard, o3_truncated, g20_backlinks, r16_mutual, r12_owner)}

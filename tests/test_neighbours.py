@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from graphloom.operators import consensus
+from graphloom.operators import consensus, traverse
 
 
 def ranked(rows: set[tuple[str, str, str]], k: int) -> set[tuple]:
@@ -32,3 +32,12 @@ def test_common_terms_count_for_neighbours(spark):
     for k in (1, 5):
         got = {(r["g"], r["m"], r["other"], r["score"]) for r in consensus.ranked_neighbours(df, "g", "t", "m", k).collect()}
         assert got == ranked(rows, k)
+
+
+def test_owner_is_the_nearest_file_at_any_depth(spark):
+    kinds = {"f": "file", "f2": "file", "c": "class", "m": "function", "deep": "function", "two": "function", "x": "class", "y": "class", "alone": "class", "z": "class"}
+    nodes = spark.createDataFrame([("g", i, t) for i, t in kinds.items()], "graphId string, id string, type string")
+    links = [("f", "c"), ("c", "m"), ("m", "deep"), ("f2", "two"), ("m", "two"), ("x", "y"), ("y", "x"), ("f2", "z"), ("z", "z"), ("m", "c"), ("c", "f2")]
+    edges = spark.createDataFrame([("g", a, b) for a, b in links], "graphId string, source string, target string")
+    got = {r["id"]: r["file"] for r in traverse.containers(nodes, edges).collect()}
+    assert got == {"c": "f", "m": "f", "deep": "f", "two": "f2", "f2": "f", "z": "f2"}
