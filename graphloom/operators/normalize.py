@@ -68,19 +68,20 @@ def weight(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(n, F.lit(0.5))))
 
 
-def clean_nodes(nodes: DataFrame) -> DataFrame:
+def clean_nodes(nodes: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Living nodes, one row per (graphId, repaired id), fields defaulted.
 
     The latest delivery (arrivedAt, then node_row) counts; if it is a delete the node is gone. Rows without id
-    are left out. Columns: graphId, id, type, name, filePath, summary, tags, complexity, node_ord.
+    are left out. Columns: graphId, id, type, name, filePath, summary, tags, complexity, node_ord, and those of
+    ``more`` as they are.
     """
     n = with_repaired_id(nodes.where(trim_ws(F.col("id")) != ""), "rid")
-    kept = ["op", "type", "name", "filePath", "summary", "tags", "complexity", "node_row"]
+    kept = ["op", "type", "name", "filePath", "summary", "tags", "complexity", "node_row", *more]
     last = n.groupBy("graphId", "rid").agg(F.max_by(F.struct(*kept), F.struct("arrivedAt", "node_row")).alias("v")).where("v.op <> 'delete'")
     return last.select("graphId", F.col("rid").alias("id"), "v.*").select(
         "graphId", "id", node_type(F.col("type")).alias("type"), "name", "filePath",
         F.when(F.coalesce("summary", F.lit("")) == "", F.coalesce(F.nullif("name", F.lit("")), F.lit("No summary"))).otherwise(F.col("summary")).alias("summary"),
-        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), complexity(F.col("complexity")).alias("complexity"), F.col("node_row").alias("node_ord"),
+        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), complexity(F.col("complexity")).alias("complexity"), F.col("node_row").alias("node_ord"), *more,
     )
 
 

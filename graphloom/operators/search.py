@@ -17,7 +17,7 @@ FIELD_WEIGHTS = {"name": 0.4, "tags": 0.3, "summary": 0.2, "notes": 0.1}
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
 
 
-def text_score(token: str, name: Column, tags: Column, summary: Column) -> Column:
+def text_score(token: str, name: Column, tags: Column, summary: Column, notes: Column) -> Column:
     """Badness in [0, 1] of one token, 0 best: weighted over the fields; equal beats prefix beats inside."""
     t = token.lower()
 
@@ -26,7 +26,7 @@ def text_score(token: str, name: Column, tags: Column, summary: Column) -> Colum
         return F.when(low == t, 0.0).when(low.startswith(t), 0.1).when(F.instr(low, t) > 0, 0.3).otherwise(1.0)
 
     w = FIELD_WEIGHTS
-    return (w["name"] * miss(name) + w["tags"] * miss(F.array_join(tags, " ", "")) + w["summary"] * miss(summary)) / (w["name"] + w["tags"] + w["summary"])
+    return (w["name"] * miss(name) + w["tags"] * miss(F.array_join(tags, " ", "")) + w["summary"] * miss(summary) + w["notes"] * miss(notes)) / sum(w.values())
 
 
 def search(nodes: DataFrame, query: str, k: int = 50, types: list[str] | None = None) -> DataFrame:
@@ -35,7 +35,7 @@ def search(nodes: DataFrame, query: str, k: int = 50, types: list[str] | None =
     if not tokens:
         return nodes.select("graphId", "id", F.lit(1.0).alias("score"), F.lit(0).alias("place")).limit(0)
     n = nodes.where(F.col("type").isin(*types)) if types else nodes
-    score = F.least(*[text_score(t, F.col("name"), F.col("tags"), F.col("summary")) for t in tokens], F.lit(1.0))
+    score = F.least(*[text_score(t, F.col("name"), F.col("tags"), F.col("summary"), F.col("languageNotes")) for t in tokens], F.lit(1.0))
     hit = n.select("graphId", "id", "node_ord", F.round(score, 6).alias("score")).where("score < 1")
     w = Window.partitionBy("graphId").orderBy("score", "node_ord")
     return hit.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("graphId", "id", "score", "place")

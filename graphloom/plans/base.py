@@ -29,6 +29,11 @@ class Graphs:
     def nodes(self) -> DataFrame:
         return clean_nodes(self.raw("nodes"))
 
+    @cached_property
+    def searched(self) -> DataFrame:
+        """The cleaned nodes with the notes that a search reads besides."""
+        return clean_nodes(self.raw("nodes"), ("languageNotes",))
+
     @cached_property
     def normalized(self):
         return normalize_edges(self.raw("edges"), self.raw("nodes"), self.nodes)

@@ -76,12 +76,12 @@ def w3_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def z1_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(Graphs(spark, d).nodes, "query tunnel", 50)
+    return search.search(Graphs(spark, d).searched, "query tunnel", 50)
 
 
 def r1_context(spark: SparkSession, d: str) -> DataFrame:
     g = Graphs(spark, d)
-    hits = search.search(g.nodes, "cursor", 15)
+    hits = search.search(g.searched, "cursor", 15)
     near = traverse.neighbours(g.edges, hits)
     return near.join(g.nodes.select("graphId", "id", "type"), ["graphId", "id"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from graphloom.operators import consensus, traverse
+from graphloom.operators import consensus, search, traverse
 
 
 def ranked(rows: set[tuple[str, str, str]], k: int) -> set[tuple]:
@@ -41,3 +41,10 @@ def test_owner_is_the_nearest_file_at_any_depth(spark):
     edges = spark.createDataFrame([("g", a, b) for a, b in links], "graphId string, source string, target string")
     got = {r["id"]: r["file"] for r in traverse.containers(nodes, edges).collect()}
     assert got == {"c": "f", "m": "f", "deep": "f", "two": "f2", "f2": "f", "z": "f2"}
+
+
+def test_a_hit_in_the_notes_alone_is_found(spark):
+    rows = [("g", "a", "x", [], "s", "about a Tunnel", 1), ("g", "b", "tunnel", [], "s", None, 2), ("g", "c", "x", [], "s", None, 3)]
+    n = spark.createDataFrame(rows, "graphId string, id string, name string, tags array<string>, summary string, languageNotes string, node_ord long")
+    got = [(r["id"], r["score"]) for r in search.search(n, "tunnel").orderBy("place").collect()]
+    assert got == [("b", 0.6), ("a", 0.93)]
