@@ -40,10 +40,12 @@ def nearest_ancestor(paths: DataFrame, folders: DataFrame, by: list[str]) -> Dat
     return up.join(folders, [*by, "folder"]).groupBy(*by, "path").agg(F.max_by("folder", F.length("folder")).alias("folder"))
 
 
-def by_suffix(refs: DataFrame, files: DataFrame, by: list[str], ref: str = "ref", most: int = 8) -> DataFrame:
+def by_suffix(refs: DataFrame, files: DataFrame, by: list[str], ref: str = "ref") -> DataFrame:
     """Files (by, path) that end with the reference at a segment border; the reference matches if only one does."""
     parts = F.split("path", "/")
-    n = F.least(F.size(parts), F.lit(most))
+    # Only as many last segments as the longest reference has are needed, and that number is read off the references.
+    most = refs.agg(F.max(F.size(F.split(ref, "/")))).first()[0] or 0
+    n = F.least(F.size(parts), F.lit(max(1, most)))
     tails = files.withColumn(ref, F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, F.size(parts) - i + 1, i), "/"))))
     return refs.join(tails, [*by, ref]).groupBy(*refs.columns).agg(F.count("*").alias("n_matches"), F.min("path").alias("path")).withColumn("path", F.when(F.col("n_matches") == 1, F.col("path")))
 

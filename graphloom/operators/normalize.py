@@ -93,12 +93,16 @@ class NormalizedEdges:
     dropped: DataFrame
 
 
-def resolve_refs(refs: DataFrame, nodes: DataFrame, living: DataFrame) -> DataFrame:
-    """graphId, ref, rid, ok of every distinct reference: raw id of a delivery, else itself, else its repair if living."""
+def id_aliases(nodes: DataFrame) -> DataFrame:
+    """graphId, ref, alias: the repaired id that a raw id of the deliveries stands for; of several the last delivered."""
     raw = with_repaired_id(nodes.where(trim_ws(F.col("id")) != ""), "rid")
-    alias = raw.groupBy("graphId", F.col("id").alias("ref")).agg(F.max_by("rid", F.struct("arrivedAt", "node_row")).alias("alias"))
+    return raw.groupBy("graphId", F.col("id").alias("ref")).agg(F.max_by("rid", F.struct("arrivedAt", "node_row")).alias("alias"))
+
+
+def resolve_aliased(refs: DataFrame, aliases: DataFrame, living: DataFrame) -> DataFrame:
+    """graphId, ref, rid, ok of every distinct reference: raw id of a delivery, else itself, else its repair if living."""
     ids = living.select("graphId", "id")
-    step = refs.select("graphId", "ref").distinct().join(alias, ["graphId", "ref"], "left").withColumn("one", F.coalesce("alias", "ref"))
+    step = refs.select("graphId", "ref").distinct().join(aliases, ["graphId", "ref"], "left").withColumn("one", F.coalesce("alias", "ref"))
     step = with_repaired_ref(step, "one", "two")
     step = step.join(ids.select("graphId", F.col("id").alias("one"), F.lit(True).alias("ok1")), ["graphId", "one"], "left")
     step = step.join(ids.select("graphId", F.col("id").alias("two"), F.lit(True).alias("ok2")), ["graphId", "two"], "left")
@@ -106,20 +110,33 @@ def resolve_refs(refs: DataFrame, nodes: DataFrame, living: DataFrame) -> DataFr
     return step.select("graphId", "ref", F.when(~ok1 & ok2, F.col("two")).otherwise(F.col("one")).alias("rid"), (ok1 | ok2).alias("ok"))
 
 
-def normalize_edges(edges: DataFrame, nodes: DataFrame, living: DataFrame) -> NormalizedEdges:
-    """Endpoints repaired, vocabulary cleaned, dangling edges dropped with reason, first of repeated edges kept.
+def resolve_refs(refs: DataFrame, nodes: DataFrame, living: DataFrame) -> DataFrame:
+    """As resolve_aliased, from the raw deliveries."""
+    return resolve_aliased(refs, id_aliases(nodes), living)
 
-    Null endpoints never resolve. Ordinals (edge_ord) come from edge_row.
+
+def resolved_edges(edges: DataFrame, aliases: DataFrame, living: DataFrame) -> DataFrame:
+    """Endpoints repaired and vocabulary cleaned; reason tells why an edge is dropped, null for those that are kept.
+
+    Of repeated edges the first is kept, the others are left out. Null endpoints never resolve. Ordinals (edge_ord)
+    come from edge_row.
     """
     refs = edges.select("graphId", F.explode(F.array("source", "target")).alias("ref")).where("ref is not null")
-    got = resolve_refs(refs, nodes, living)
+    got = resolve_aliased(refs, aliases, living)
     s = got.select("graphId", F.col("ref").alias("source"), F.col("rid").alias("s"), F.col("ok").alias("s_ok"))
     t = got.select("graphId", F.col("ref").alias("target"), F.col("rid").alias("t"), F.col("ok").alias("t_ok"))
+    s_ok, t_ok = F.coalesce("s_ok", F.lit(False)), F.coalesce("t_ok", F.lit(False))
     e = edges.join(s, ["graphId", "source"], "left").join(t, ["graphId", "target"], "left").select(
         "graphId", F.coalesce("s", "source").alias("source"), F.coalesce("t", "target").alias("target"), edge_type(F.col("type")).alias("type"),
         direction(F.col("direction")).alias("direction"), weight(F.col("weight")).alias("weight"), F.col("edge_row").alias("edge_ord"),
-        F.coalesce("s_ok", F.lit(False)).alias("s_ok"), F.coalesce("t_ok", F.lit(False)).alias("t_ok"),
+        F.when(~s_ok & ~t_ok, "missing-both").when(~s_ok, "missing-source").when(~t_ok, "missing-target").alias("reason"),
     )
-    reason = F.when(~F.col("s_ok") & ~F.col("t_ok"), "missing-both").when(~F.col("s_ok"), "missing-source").otherwise("missing-target")
-    kept = first_by(e.where("s_ok and t_ok").drop("s_ok", "t_ok"), ["graphId", "source", "target", "type"], "edge_ord")
-    return NormalizedEdges(kept, e.where("not (s_ok and t_ok)").select("graphId", "edge_ord", "source", "target", "type", reason.alias("reason")))
+    # Dropped edges are each a group of their own, so one pass serves both.
+    own = F.when(F.col("reason").isNotNull(), F.col("edge_ord"))
+    return first_by(e.withColumn("own", own), ["graphId", "source", "target", "type", "own"], "edge_ord").drop("own")
+
+
+def normalize_edges(edges: DataFrame, nodes: DataFrame, living: DataFrame) -> NormalizedEdges:
+    """Edges between living nodes without repeats, and what was dropped with the reason."""
+    every = resolved_edges(edges, id_aliases(nodes), living)
+    return NormalizedEdges(every.where("reason is null").drop("reason"), every.where("reason is not null").select("graphId", "edge_ord", "source", "target", "type", "reason"))

@@ -6,6 +6,9 @@ and a lost executor costs one step. All graphs of a table advance together.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import chain
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,10 @@ from graphloom.operators.views import first_layer, neighbours
 from graphloom.session import cut_lineage
 
 
+#: Modularity that a round of moves must gain to count.
+GAIN = 1e-4
+
+
 def diff_impact(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
     """graphId, id, role (changed or affected) of a set of changed files (graphId, filePath).
 
@@ -22,16 +29,17 @@ def diff_impact(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFra
     """
     start = nodes.join(files, ["graphId", "filePath"], "left_semi").select("graphId", "id", F.lit(-1).cast("long").alias("at"))
     contains = cut_lineage(edges.where("type = 'contains'").select("graphId", F.col("source").alias("id"), F.col("target").alias("child"), "edge_ord"))
-    reached = front = cut_lineage(start)
+    front = cut_lineage(start)
+    reached = _Parts(front)
     while True:
         step = front.join(contains, ["graphId", "id"]).where(F.col("edge_ord") > F.col("at")).groupBy("graphId", F.col("child").alias("id")).agg(F.min("edge_ord").alias("at"))
         # A node met again counts only if it is met earlier, as that can open edges that were passed before.
-        old = reached.groupBy("graphId", "id").agg(F.min("at").alias("known"))
+        old = reached.all().groupBy("graphId", "id").agg(F.min("at").alias("known"))
         front = cut_lineage(step.join(old, ["graphId", "id"], "left").where("known is null or at < known").select("graphId", "id", "at"))
         if front.isEmpty():
             break
-        reached = cut_lineage(reached.union(front))
-    changed = reached.select("graphId", "id").distinct()
+        reached.add(front)
+    changed = reached.all().select("graphId", "id").distinct()
     near = neighbours(edges, changed).join(changed, ["graphId", "id"], "left_anti")
     return changed.withColumn("role", F.lit("changed")).union(near.withColumn("role", F.lit("affected")))
 
@@ -73,20 +81,86 @@ def find_symbol(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return c.groupBy("graphId", "filePath", "symbol").agg(F.min_by(F.struct("id", "tier"), F.struct("tier", "node_ord")).alias("v")).select("graphId", "filePath", "symbol", "v.id", "v.tier")
 
 
-def distances(edges: DataFrame, start: DataFrame, directed: bool = True, most: int = 1000) -> DataFrame:
-    """Steps from the nearest start node (graphId, id) along edges; unreached nodes are left out."""
+class _Parts:
+    """Rows that only grow: each addition is a written part of its own, and parts are merged once sixteen of one age lie there.
+
+    So a loop of d steps writes each row about log16(d) times instead of d times, and plans stay short.
+    """
+
+    def __init__(self, *first: DataFrame):
+        self._by_age: list[list[DataFrame]] = [list(first)]
+
+    def add(self, part: DataFrame) -> None:
+        self._by_age[0].append(part)
+        for age, parts in enumerate(self._by_age):
+            if len(parts) < 16:
+                break
+            if age + 1 == len(self._by_age):
+                self._by_age.append([])
+            self._by_age[age + 1].append(cut_lineage(reduce(DataFrame.union, parts).coalesce(max(1, parts[0].sparkSession.sparkContext.defaultParallelism))))
+            self._by_age[age] = []
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.union, chain.from_iterable(reversed(self._by_age)))
+
+
+def _links(edges: DataFrame, directed: bool) -> DataFrame:
+    """graphId, id, next of every step, without self-loops and repeats."""
     step = edges.select("graphId", F.col("source").alias("id"), F.col("target").alias("next"))
-    if not directed:
-        step = step.union(edges.select("graphId", "target", "source"))
-    step = cut_lineage(step.where("id <> next").distinct())
-    seen = front = cut_lineage(start.select("graphId", "id").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, most + 1):
-        new = front.join(step, ["graphId", "id"]).select("graphId", F.col("next").alias("id")).distinct().join(seen, ["graphId", "id"], "left_anti")
+    return (step if directed else step.union(edges.select("graphId", "target", "source"))).where("id <> next").distinct()
+
+
+def distances(edges: DataFrame, start: DataFrame, directed: bool = True) -> DataFrame:
+    """Steps from the nearest start node (graphId, id) along edges; unreached nodes are left out.
+
+    Runs until no node is new, however far that is. Along undirected edges distances differ by one at most, so a
+    new front is only compared with the two before it.
+    """
+    step = cut_lineage(_links(edges, directed))
+    front = cut_lineage(start.select("graphId", "id").distinct().withColumn("depth", F.lit(0)))
+    seen, last, depth = _Parts(front), [front], 0
+    while True:
+        depth += 1
+        known = seen.all() if directed else reduce(DataFrame.union, last)
+        new = front.join(step, ["graphId", "id"]).select("graphId", F.col("next").alias("id")).distinct().join(known, ["graphId", "id"], "left_anti")
         front = cut_lineage(new.withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            return seen.all()
+        seen.add(front)
+        last = [last[-1], front]
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """graphId, source, target, length, path of a shortest way along edges either way, for pairs (graphId, source, target).
+
+    Pairs of one source are searched together. Where several ways are shortest, each node is reached from its smallest
+    possible predecessor. path is the ids joined by ``>``. Pairs without a way are left out; from a node to itself the
+    path is the node.
+    """
+    step = cut_lineage(_links(edges, False))
+    wanted = cut_lineage(pairs.select("graphId", "source", "target").distinct())
+    front = cut_lineage(wanted.select("graphId", "source", F.col("source").alias("id"), F.lit(None).cast("string").alias("parent")).distinct())
+    levels, open_ = [front], wanted.where("source <> target")
+    done = [wanted.where("source = target").withColumn("length", F.lit(0))]
+    while True:
+        near = front.select("graphId", "source", F.col("id").alias("parent")).join(step.select("graphId", F.col("id").alias("parent"), F.col("next").alias("id")), ["graphId", "parent"])
+        new = near.groupBy("graphId", "source", "id").agg(F.min("parent").alias("parent")).join(reduce(DataFrame.union, levels[-2:]), ["graphId", "source", "id"], "left_anti")
+        # Searches whose targets are all found go no further.
+        front = cut_lineage(new.join(open_.select("graphId", "source").distinct(), ["graphId", "source"], "left_semi"))
         if front.isEmpty():
             break
-        seen = cut_lineage(seen.union(front))
-    return seen
+        levels.append(front)
+        hit = front.select("graphId", "source", F.col("id").alias("target"))
+        done.append(cut_lineage(open_.join(hit, ["graphId", "source", "target"], "left_semi").withColumn("length", F.lit(len(levels) - 1))))
+        open_ = cut_lineage(open_.join(hit, ["graphId", "source", "target"], "left_anti"))
+    way = None
+    for depth in range(len(levels) - 1, -1, -1):
+        here = done[depth].select("graphId", "source", "target", "length", F.col("target").alias("at"), F.col("target").alias("path")) if depth < len(done) else None
+        way = here if way is None else way if here is None else way.union(here)
+        if depth:
+            up = levels[depth].select("graphId", "source", F.col("id").alias("at"), "parent")
+            way = cut_lineage(way.join(up, ["graphId", "source", "at"]).select("graphId", "source", "target", "length", F.col("parent").alias("at"), F.concat_ws(">", "parent", "path").alias("path")))
+    return way.select("graphId", "source", "target", "length", "path")
 
 
 def containers(nodes: DataFrame, contains: DataFrame, kind: str = "file") -> DataFrame:
@@ -97,39 +171,44 @@ def containers(nodes: DataFrame, contains: DataFrame, kind: str = "file") -> Dat
     """
     step = cut_lineage(contains.select("graphId", F.col("source").alias("up"), F.col("target").alias("id")).distinct())
     files = nodes.where(F.col("type") == kind).select("graphId", F.col("id").alias("up"))
-    seen = front = cut_lineage(step.join(files, ["graphId", "up"], "left_semi").groupBy("graphId", "id").agg(F.min("up").alias("file")))
+    front = cut_lineage(step.join(files, ["graphId", "up"], "left_semi").groupBy("graphId", "id").agg(F.min("up").alias("file")))
+    seen = _Parts(front)
     step = cut_lineage(step.join(files, ["graphId", "up"], "left_anti"))
     while not front.isEmpty():
         below = step.join(front.select("graphId", F.col("id").alias("up"), "file"), ["graphId", "up"]).groupBy("graphId", "id").agg(F.min("file").alias("file"))
-        front = cut_lineage(below.join(seen, ["graphId", "id"], "left_anti"))
-        seen = cut_lineage(seen.union(front))
-    return seen
+        front = cut_lineage(below.join(seen.all(), ["graphId", "id"], "left_anti"))
+        seen.add(front)
+    return seen.all()
+
 
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Level of each node when sources are peeled off again and again; nodes on or behind cycles have level -1.
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """Level of each node when sources are peeled off again and again; nodes on or behind cycles have level -1."""
+    Only the front moves: what it passes on is logged, and a node follows once it has got as much as it has edges in.
+    """
     e = cut_lineage(edges.where("source <> target").select("graphId", "source", "target").distinct())
-    left = cut_lineage(nodes.select("graphId", "id"))
-    levels = None
-    for level in range(most):
-        ready = left.join(e.select("graphId", F.col("target").alias("id")), ["graphId", "id"], "left_anti")
-        ready = cut_lineage(ready)
-        if ready.isEmpty():
-            break
-        part = ready.withColumn("level", F.lit(level))
-        levels = part if levels is None else levels.union(part)
-        left = cut_lineage(left.join(ready, ["graphId", "id"], "left_anti"))
-        e = cut_lineage(e.join(ready.withColumnRenamed("id", "source"), ["graphId", "source"], "left_anti"))
-    rest = left.withColumn("level", F.lit(-1))
-    return rest if levels is None else levels.union(rest)
+    need = cut_lineage(e.groupBy("graphId", F.col("target").alias("id")).agg(F.count("*").alias("need")))
+    every = nodes.select("graphId", "id")
+    front = cut_lineage(every.join(need, ["graphId", "id"], "left_anti").withColumn("level", F.lit(0)))
+    levels, log, level = _Parts(front), None, 0
+    while not front.isEmpty():
+        level += 1
+        passed = cut_lineage(e.join(front.select("graphId", F.col("id").alias("source")), ["graphId", "source"]).groupBy("graphId", F.col("target").alias("id")).agg(F.count("*").alias("got")))
+        log = _Parts(passed) if log is None else log
+        if level > 1:
+            log.add(passed)
+        got = log.all().join(passed.select("graphId", "id"), ["graphId", "id"], "left_semi").groupBy("graphId", "id").agg(F.sum("got").alias("got"))
+        front = cut_lineage(got.join(need, ["graphId", "id"]).where("got = need").join(every, ["graphId", "id"], "left_semi").select("graphId", "id", F.lit(level).alias("level")))
+        levels.add(front)
+    found = levels.all()
+    return found.union(every.join(found, ["graphId", "id"], "left_anti").withColumn("level", F.lit(-1)))
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest id of the connected component of each node, by hooking to smaller neighbours and jumping pointers."""
-    both = edges.select("graphId", F.col("source").alias("a"), F.col("target").alias("b"))
-    both = cut_lineage(both.union(edges.select("graphId", "target", "source")).where("a <> b").distinct())
+    both = cut_lineage(_links(edges, False).select("graphId", F.col("id").alias("a"), F.col("next").alias("b")))
     label = cut_lineage(nodes.select("graphId", "id", F.col("id").alias("component")))
-    for _ in range(most):
+    while True:
         near = both.join(label.select("graphId", F.col("id").alias("b"), F.col("component").alias("lb")), ["graphId", "b"]).groupBy("graphId", F.col("a").alias("id")).agg(F.min("lb").alias("low"))
         hooked = label.join(near, ["graphId", "id"], "left").select("graphId", "id", "component", F.least("component", "low").alias("new"))
         # The label of the label: halves what is left to go.
@@ -137,27 +216,89 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame
         jumped = cut_lineage(hooked.join(up, ["graphId", "new"], "left").select("graphId", "id", F.least("new", "up").alias("component"), (F.least("new", "up") != F.col("component")).alias("moved")))
         label = jumped.select("graphId", "id", "component")
         if jumped.where("moved").isEmpty():
-            break
-    return label
+            return label
+
+
+def _modularity(links: DataFrame, label: DataFrame, resolution: float) -> float:
+    """Modularity of a partition, over all graphs, each weighted by its links."""
+    a = links.join(label.select("graphId", F.col("id").alias("a"), F.col("community").alias("ca")), ["graphId", "a"]).join(label.select("graphId", F.col("id").alias("b"), F.col("community").alias("cb")), ["graphId", "b"])
+    per = a.groupBy("graphId", F.col("ca").alias("c")).agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("inner"), F.sum("w").alias("all"))
+    m = per.groupBy("graphId").agg(F.sum("all").alias("m2"))
+    q = per.join(m, "graphId").select((F.col("inner") - resolution * F.col("all") * F.col("all") / F.col("m2")).alias("q"), "all").agg(F.sum("q").alias("q"), F.sum("all").alias("m")).first()
+    return float(q["q"] or 0.0) / float(q["m"] or 1.0)
+
 
+def _move(links: DataFrame, nodes: DataFrame, resolution: float) -> tuple[DataFrame, bool]:
+    """Moves nodes to the neighbouring community of largest modularity gain until a pass over all nodes gains less than GAIN.
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """Label propagation with fixed rounds: each node takes the label of most neighbours, ties to the smallest. Deterministic."""
-    both = edges.select("graphId", F.col("source").alias("a"), F.col("target").alias("b"))
-    both = cut_lineage(both.union(edges.select("graphId", "target", "source")).where("a <> b").distinct())
+    Nodes move in two groups by a hash, so neighbours less often swap places; a round that loses is taken back.
+    """
+    degree = cut_lineage(links.groupBy("graphId", F.col("a").alias("id")).agg(F.sum("w").alias("k")))
+    m2 = degree.groupBy("graphId").agg(F.sum("k").alias("m2"))
     label = cut_lineage(nodes.select("graphId", "id", F.col("id").alias("community")))
-    for _ in range(rounds):
-        votes = both.join(label.select("graphId", F.col("id").alias("b"), "community"), ["graphId", "b"]).groupBy("graphId", F.col("a").alias("id"), "community").agg(F.count("*").alias("n"))
-        own = label.select("graphId", "id", "community", F.lit(1).alias("n"))
-        best = votes.unionByName(own).groupBy("graphId", "id", "community").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy("graphId", "id").orderBy(F.desc("n"), "community")
-        label = cut_lineage(best.withColumn("r", F.row_number().over(w)).where("r = 1").select("graphId", "id", "community"))
-    return label
+    best, turn, idle, moved = _modularity(links, label, resolution), 0, 0, False
+    while idle < 2:
+        size = label.join(degree, ["graphId", "id"]).groupBy("graphId", "community").agg(F.sum("k").alias("total"))
+        mine = degree.where(F.pmod(F.xxhash64("graphId", "id"), F.lit(2)) == turn % 2).join(label.withColumnRenamed("community", "own"), ["graphId", "id"])
+        to = links.where("a <> b").join(label.select("graphId", F.col("id").alias("b"), "community"), ["graphId", "b"]).groupBy("graphId", F.col("a").alias("id"), "community").agg(F.sum("w").alias("w"))
+        stay = mine.select("graphId", "id", F.col("own").alias("community"), F.lit(0.0).alias("w"))
+        options = mine.join(to.unionByName(stay).groupBy("graphId", "id", "community").agg(F.sum("w").alias("w")), ["graphId", "id"]).join(size, ["graphId", "community"]).join(m2, "graphId")
+        rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - resolution * F.col("k") * rest / F.col("m2"), 9)
+        # Of equal gains the own community, then the smallest.
+        w = Window.partitionBy("graphId", "id").orderBy(F.desc("gain"), F.desc(F.col("community") == F.col("own")), "community")
+        pick = options.withColumn("gain", gain).withColumn("r", F.row_number().over(w)).where("r = 1 and community <> own").select("graphId", "id", F.col("community").alias("to"))
+        new = cut_lineage(label.join(pick, ["graphId", "id"], "left").select("graphId", "id", F.coalesce("to", "community").alias("community")))
+        now = _modularity(links, new, resolution)
+        turn += 1
+        if now > best + GAIN:
+            label, best, idle, moved = new, now, 0, True
+        else:
+            idle += 1
+    return label, moved
+
+
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """graphId, id, community of greatest modularity found: nodes move, communities become nodes, until nothing gains.
+
+    A community is named by one of its members. Nodes without links stay alone. Deterministic.
+    """
+    ids = cut_lineage(nodes.select("graphId", "id").distinct())
+    e = edges.join(ids.withColumnRenamed("id", "source"), ["graphId", "source"], "left_semi").join(ids.withColumnRenamed("id", "target"), ["graphId", "target"], "left_semi")
+    pairs = _links(e, False).select("graphId", F.col("id").alias("a"), F.col("next").alias("b"))
+    links = cut_lineage(pairs.withColumn("w", F.lit(1.0)))
+    linked = links.select("graphId", F.col("a").alias("id")).distinct()
+    label, level = None, linked
+    while not links.isEmpty():
+        step, moved = _move(links, level, resolution)
+        label = step if label is None else cut_lineage(label.select("graphId", "id", F.col("community").alias("mid")).join(step.select("graphId", F.col("id").alias("mid"), "community"), ["graphId", "mid"]).select("graphId", "id", "community"))
+        if not moved:
+            break
+        a, b = (step.select("graphId", F.col("id").alias(x), F.col("community").alias("c" + x)) for x in "ab")
+        links = cut_lineage(links.join(a, ["graphId", "a"]).join(b, ["graphId", "b"]).groupBy("graphId", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+        level = links.select("graphId", F.col("a").alias("id")).distinct()
+    if label is None:
+        return ids.withColumn("community", F.col("id"))
+    return ids.join(label, ["graphId", "id"], "left").select("graphId", "id", F.coalesce("community", "id").alias("community"))
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
+    """Numbers the rows of each group from 0 in a total order, though no task holds a whole group.
+
+    Rows are range-partitioned by group and order, numbered within the part of a group that a partition holds, and
+    shifted by the sizes of the parts before.
+    """
+    cut = cut_lineage(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    local = cut.withColumn("_nth", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)) - 1)
+    sizes = cut.groupBy("_part", *[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*[f"_by_{c}" for c in by]).orderBy("_part")) - F.col("_n")).drop("_n").withColumnRenamed("_part", "_of")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_part") == F.col("_of"))
+    return local.join(before, same).withColumn(out, F.col("_nth") + F.col("_before")).select(*df.columns, out)
 
 
 def chunks(df: DataFrame, by: list[str], order: list[str], size: int, out: str = "chunk") -> DataFrame:
     """Numbers rows in order and cuts each group into chunks of a fixed size."""
-    return df.withColumn(out, F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size).cast("int"))
+    return numbered(df, by, order, "_k").withColumn(out, F.floor(F.col("_k") / size).cast("int")).drop("_k")
 
 
 def split_batches(labelled: DataFrame, largest: int = 35, smallest: int = 3, pool: int = 25) -> DataFrame:

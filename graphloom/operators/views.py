@@ -131,16 +131,26 @@ def type_matrix(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.groupBy("source_type", "target_type", "type").agg(F.count("*").alias("n"))
 
 
+def _with_rank(df: DataFrame, value: str, out: str, descending: bool) -> DataFrame:
+    """Percent rank of a whole number within its graph, from a histogram of its values: no task sorts a graph."""
+    hist = df.groupBy("graphId", value).agg(F.count("*").alias("_n"))
+    by = Window.partitionBy("graphId")
+    order = by.orderBy(F.desc(value) if descending else F.asc(value))
+    ranks = hist.select("graphId", value, F.coalesce((F.sum("_n").over(order) - F.col("_n")) / F.nullif(F.sum("_n").over(by) - 1, F.lit(0)), F.lit(0.0)).alias(out))
+    return df.join(ranks, ["graphId", value])
+
+
 def entry_scores(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """Additive entry-point score of files: name, depth, fan-out in the top tenth, fan-in in the bottom quarter."""
     out_deg = edges.groupBy("graphId", F.col("source").alias("id")).agg(F.count("*").alias("fan_out"))
     in_deg = edges.groupBy("graphId", F.col("target").alias("id")).agg(F.count("*").alias("fan_in"))
     f = nodes.where("type in ('file', 'document') and filePath is not null").join(out_deg, ["graphId", "id"], "left").join(in_deg, ["graphId", "id"], "left").fillna(0, ["fan_out", "fan_in"])
+    f = _with_rank(_with_rank(f, "fan_out", "out_rank", True), "fan_in", "in_rank", False)
     by = Window.partitionBy("graphId")
     name = F.lower(basename(F.col("filePath")))
     score = (
         F.when(name.rlike(r"^(?:main|index|app|server|cli|mod|lib)\.[a-z]+$"), 3).otherwise(0) + F.when(F.size(F.split("filePath", "/")) <= 2, 1).otherwise(0)
-        + F.when(F.percent_rank().over(by.orderBy(F.desc("fan_out"))) <= 0.1, 1).otherwise(0) + F.when(F.percent_rank().over(by.orderBy("fan_in")) <= 0.25, 1).otherwise(0)
+        + F.when(F.col("out_rank") <= 0.1, 1).otherwise(0) + F.when(F.col("in_rank") <= 0.25, 1).otherwise(0)
         + F.when(name == "readme.md", 5).when(name.endswith(".md"), 2).otherwise(0)
     )
     ranked = f.withColumn("score", score).withColumn("place", F.row_number().over(by.orderBy(F.desc("score"), "id")))

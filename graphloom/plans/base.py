@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,14 +11,14 @@ from pyspark.sql import functions as F
 
 from graphloom import schema as S
 from graphloom.functions.ids import trim_ws
-from graphloom.operators.normalize import clean_nodes, normalize_edges, resolve_refs
+from graphloom.operators.normalize import NormalizedEdges, clean_nodes, id_aliases, resolve_aliased, resolved_edges
 from graphloom.plans.integrity import _TRIM, repaired, repaired_ref
-from graphloom.session import table
+from graphloom.session import prepared, table
 
 
 @dataclass
 class Graphs:
-    """Lazily built cleaned tables; each property is a plan, nothing is computed here."""
+    """Cleaned tables of a data directory; each is written once per delivery (see ``prepared``) when first used."""
 
     spark: SparkSession
     d: str
@@ -25,18 +26,27 @@ class Graphs:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.d, name)
 
+    def _once(self, name: str, sources: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+        return prepared(self.spark, name, [f"{self.d}/{s}.parquet" for s in sources], build)
+
     @cached_property
     def nodes(self) -> DataFrame:
-        return clean_nodes(self.raw("nodes"))
+        return self.searched.drop("languageNotes")
 
     @cached_property
     def searched(self) -> DataFrame:
         """The cleaned nodes with the notes that a search reads besides."""
-        return clean_nodes(self.raw("nodes"), ("languageNotes",))
+        return self._once("nodes", ("nodes",), lambda: clean_nodes(self.raw("nodes"), ("languageNotes",)))
+
+    @cached_property
+    def aliases(self) -> DataFrame:
+        """What the raw ids of deliveries stand for."""
+        return self._once("aliases", ("nodes",), lambda: id_aliases(self.raw("nodes")))
 
     @cached_property
-    def normalized(self):
-        return normalize_edges(self.raw("edges"), self.raw("nodes"), self.nodes)
+    def normalized(self) -> NormalizedEdges:
+        every = self._once("edges", ("nodes", "edges"), lambda: resolved_edges(self.raw("edges"), self.aliases, self.nodes))
+        return NormalizedEdges(every.where("reason is null").drop("reason"), every.where("reason is not null").select("graphId", "edge_ord", "source", "target", "type", "reason"))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -45,10 +55,13 @@ class Graphs:
     @cached_property
     def members(self) -> DataFrame:
         """graphId, layer_id, layer_ord, pos, id of the living members of the last delivery of each layer."""
+        return self._once("members", ("nodes", "layers"), self._members)
+
+    def _members(self) -> DataFrame:
         layers = self.raw("layers").groupBy("graphId", "id").agg(F.max_by(F.struct("nodeIds", "name", "layer_row"), F.struct("arrivedAt", "layer_row")).alias("v"))
         m = layers.select("graphId", F.col("id").alias("layer_id"), F.col("v.name").alias("layer_name"), F.col("v.layer_row").alias("layer_ord"), F.posexplode("v.nodeIds").alias("pos", "ref"))
         m = m.where(trim_ws(F.col("ref")) != "")
-        got = resolve_refs(m, self.raw("nodes"), self.nodes)
+        got = resolve_aliased(m, self.aliases, self.nodes)
         return m.join(got.where("ok"), ["graphId", "ref"]).select("graphId", "layer_id", "layer_name", "layer_ord", "pos", F.col("rid").alias("id"))
 
 

@@ -8,45 +8,51 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _pairs(text: str) -> dict[str, str]:
-    """``a,b>c; d>e`` as a lookup from each left name to the right one."""
-    return {k.strip(): part.split(">")[1].strip() for part in text.split(";") for k in part.split(">")[0].split(",")}
-
-
 # Aliases of node types, for all graphs and by kind of graph.
-NODE_ALIASES = _pairs(
-    "func,fn,method>function; interface,struct>class; mod,pkg,package>module; container,deployment,pod>service; doc,readme,docs>document; job,ci>pipeline;"
-    "route,api,query,mutation>endpoint; setting,env,configuration>config; infra,infrastructure,terraform>resource; migration,database,db,view>table;"
-    "proto,protobuf,definition,typedef>schema; business_domain>domain; business_flow,business_process>flow; task,business_step>step; note,wiki_page>article;"
-    "person,actor,organization>entity; tag,category,theme>topic; assertion,decision,thesis>claim; reference,raw,paper>source"
-)
-DESIGN_NODE_ALIASES = _pairs("frame,artboard>screen; canvas>page; main_component>component; component_set,variant_set,componentset>componentSet; design_token,style>token")
-CODE_NODE_ALIASES = _pairs("page>article")
-EDGE_ALIASES = _pairs(
-    "extends>inherits; invokes,invoke>calls; uses,requires>depends_on; relates_to,related_to>related; similar>similar_to; import>imports; export>exports; contain>contains;"
-    "publish>publishes; subscribe>subscribes; describes,documented_by>documents; creates>provisions; exposes,listens>serves; deploys_to>deploys; migrates_to>migrates;"
-    "routes_to>routes; triggers_on,fires>triggers; defines>defines_schema; has_flow>contains_flow; next_step>flow_step; interacts_with>cross_domain;"
-    "references,cites_source>cites; conflicts_with,disagrees_with>contradicts; refines,elaborates>builds_on; illustrates,example_of>exemplifies;"
-    "belongs_to,tagged_with>categorized_under; written_by,created_by>authored_by"
-)
-DESIGN_EDGE_ALIASES = _pairs("instantiates>instance_of; variant>variant_of; styled_by,applies_token>uses_token")
-CODE_EDGE_ALIASES = _pairs("instance_of>exemplifies")
-COMPLEXITY_ALIASES = _pairs("low,easy>simple; medium,intermediate>moderate; high,hard,difficult>complex")
-COMPLEXITY_BATCH_ALIASES = COMPLEXITY_ALIASES | _pairs("trivial,basic>simple; mid,average>moderate; advanced>complex")
-DIRECTION_ALIASES = _pairs("to,outbound>forward; from,inbound>backward; both,mutual>bidirectional")
+NODE_ALIASES = {
+    "func": "function", "fn": "function", "method": "function", "interface": "class", "struct": "class", "mod": "module", "pkg": "module", "package": "module", "container": "service",
+    "deployment": "service", "pod": "service", "doc": "document", "readme": "document", "docs": "document", "job": "pipeline", "ci": "pipeline", "route": "endpoint", "api": "endpoint",
+    "query": "endpoint", "mutation": "endpoint", "setting": "config", "env": "config", "configuration": "config", "infra": "resource", "infrastructure": "resource", "terraform": "resource",
+    "migration": "table", "database": "table", "db": "table", "view": "table", "proto": "schema", "protobuf": "schema", "definition": "schema", "typedef": "schema",
+    "business_domain": "domain", "business_flow": "flow", "business_process": "flow", "task": "step", "business_step": "step", "note": "article", "wiki_page": "article", "person": "entity",
+    "actor": "entity", "organization": "entity", "tag": "topic", "category": "topic", "theme": "topic", "assertion": "claim", "decision": "claim", "thesis": "claim", "reference": "source",
+    "raw": "source", "paper": "source",
+}
+DESIGN_NODE_ALIASES = {
+    "frame": "screen", "artboard": "screen", "canvas": "page", "main_component": "component", "component_set": "componentSet", "variant_set": "componentSet", "componentset": "componentSet",
+    "design_token": "token", "style": "token",
+}
+CODE_NODE_ALIASES = {"page": "article"}
+EDGE_ALIASES = {
+    "extends": "inherits", "invokes": "calls", "invoke": "calls", "uses": "depends_on", "requires": "depends_on", "relates_to": "related", "related_to": "related", "similar": "similar_to",
+    "import": "imports", "export": "exports", "contain": "contains", "publish": "publishes", "subscribe": "subscribes", "describes": "documents", "documented_by": "documents",
+    "creates": "provisions", "exposes": "serves", "listens": "serves", "deploys_to": "deploys", "migrates_to": "migrates", "routes_to": "routes", "triggers_on": "triggers",
+    "fires": "triggers", "defines": "defines_schema", "has_flow": "contains_flow", "next_step": "flow_step", "interacts_with": "cross_domain", "references": "cites",
+    "cites_source": "cites", "conflicts_with": "contradicts", "disagrees_with": "contradicts", "refines": "builds_on", "elaborates": "builds_on", "illustrates": "exemplifies",
+    "example_of": "exemplifies", "belongs_to": "categorized_under", "tagged_with": "categorized_under", "written_by": "authored_by", "created_by": "authored_by",
+}
+DESIGN_EDGE_ALIASES = {"instantiates": "instance_of", "variant": "variant_of", "styled_by": "uses_token", "applies_token": "uses_token"}
+CODE_EDGE_ALIASES = {"instance_of": "exemplifies"}
+COMPLEXITY_ALIASES = {
+    "low": "simple", "easy": "simple", "medium": "moderate", "intermediate": "moderate", "high": "complex", "hard": "complex", "difficult": "complex",
+}
+COMPLEXITY_BATCH_ALIASES = COMPLEXITY_ALIASES | {"trivial": "simple", "basic": "simple", "mid": "moderate", "average": "moderate", "advanced": "complex"}
+DIRECTION_ALIASES = {
+    "to": "forward", "outbound": "forward", "from": "backward", "inbound": "backward", "both": "bidirectional", "mutual": "bidirectional",
+}
 DIRECTIONS = ("forward", "backward", "bidirectional")
 
 # Node types by category and edge types by category.
 NODE_CATEGORIES = {
-    "code": "file function class module concept".split(), "config": ["config"], "docs": ["document"], "infra": "service resource pipeline".split(),
-    "data": "table endpoint schema".split(), "domain": "domain flow step".split(), "knowledge": "article entity topic claim source".split(),
-    "design": "screen page component componentSet instance token".split(),
+    "code": ["file", "function", "class", "module", "concept"], "config": ["config"], "docs": ["document"], "infra": ["service", "resource", "pipeline"],
+    "data": ["table", "endpoint", "schema"], "domain": ["domain", "flow", "step"], "knowledge": ["article", "entity", "topic", "claim", "source"],
+    "design": ["screen", "page", "component", "componentSet", "instance", "token"],
 }
 EDGE_CATEGORIES = {
-    "structural": "imports exports contains inherits implements".split(), "behavioral": "calls subscribes publishes middleware".split(),
-    "data-flow": "reads_from writes_to transforms validates".split(), "dependencies": "depends_on tested_by configures".split(), "semantic": "related similar_to".split(),
-    "infrastructure": "deploys serves provisions triggers migrates documents routes defines_schema".split(), "domain": "contains_flow flow_step cross_domain".split(),
-    "knowledge": "cites contradicts builds_on exemplifies categorized_under authored_by".split(), "design": "instance_of variant_of uses_token".split(),
+    "structural": ["imports", "exports", "contains", "inherits", "implements"], "behavioral": ["calls", "subscribes", "publishes", "middleware"],
+    "data-flow": ["reads_from", "writes_to", "transforms", "validates"], "dependencies": ["depends_on", "tested_by", "configures"], "semantic": ["related", "similar_to"],
+    "infrastructure": ["deploys", "serves", "provisions", "triggers", "migrates", "documents", "routes", "defines_schema"], "domain": ["contains_flow", "flow_step", "cross_domain"],
+    "knowledge": ["cites", "contradicts", "builds_on", "exemplifies", "categorized_under", "authored_by"], "design": ["instance_of", "variant_of", "uses_token"],
 }
 NODE_CATEGORY = {t: c for c, ts in NODE_CATEGORIES.items() for t in ts}
 EDGE_CATEGORY = {t: c for c, ts in EDGE_CATEGORIES.items() for t in ts}
@@ -55,11 +61,11 @@ EDGE_WEIGHTS = {"contains": 1.0, "inherits": 0.9, "implements": 0.9, "calls": 0.
 
 # Architecture layers in order of precedence, with the path segments that tell them.
 LAYER_PATTERNS = [
-    ("API Layer", "routes controller handler endpoint api".split()), ("Service Layer", "service usecase use-case business".split()),
-    ("Data Layer", "model entity schema database db migration repository repo".split()), ("UI Layer", "component view page screen layout widget ui".split()),
-    ("Middleware Layer", "middleware interceptor guard filter pipe".split()), ("External Services", "client integration external sdk vendor adapter".split()),
-    ("Background Tasks", "worker job queue cron consumer processor scheduler background".split()), ("Utility Layer", "util helper lib common shared".split()),
-    ("Test Layer", "test spec __test__ __spec__ __tests__ __specs__".split()), ("Configuration Layer", "config setting env".split()),
+    ("API Layer", ["routes", "controller", "handler", "endpoint", "api"]), ("Service Layer", ["service", "usecase", "use-case", "business"]),
+    ("Data Layer", ["model", "entity", "schema", "database", "db", "migration", "repository", "repo"]), ("UI Layer", ["component", "view", "page", "screen", "layout", "widget", "ui"]),
+    ("Middleware Layer", ["middleware", "interceptor", "guard", "filter", "pipe"]), ("External Services", ["client", "integration", "external", "sdk", "vendor", "adapter"]),
+    ("Background Tasks", ["worker", "job", "queue", "cron", "consumer", "processor", "scheduler", "background"]), ("Utility Layer", ["util", "helper", "lib", "common", "shared"]),
+    ("Test Layer", ["test", "spec", "__test__", "__spec__", "__tests__", "__specs__"]), ("Configuration Layer", ["config", "setting", "env"]),
 ]
 
 # Concepts and the words that hint at them.

@@ -8,11 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What is ignored unless a later rule takes it back.
-DEFAULTS = (
-    "node_modules/ .git/ vendor/ venv/ .venv/ __pycache__/ dist/ build/ out/ coverage/ .next/ .cache/ .turbo/ target/ obj/ *.lock package-lock.json yarn.lock pnpm-lock.yaml "
-    "*.png *.jpg *.jpeg *.gif *.svg *.ico *.woff *.woff2 *.ttf *.eot *.mp3 *.mp4 *.pdf *.zip *.tar *.gz *.min.js *.min.css *.map *.generated.* .idea/ .vscode/ "
-    "LICENSE .gitignore .editorconfig .prettierrc .eslintrc* *.log"
-).split()
+DEFAULTS = [
+    "node_modules/", ".git/", "vendor/", "venv/", ".venv/", "__pycache__/", "dist/", "build/", "out/", "coverage/", ".next/", ".cache/", ".turbo/", "target/", "obj/", "*.lock",
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.svg", "*.ico", "*.woff", "*.woff2", "*.ttf", "*.eot", "*.mp3", "*.mp4", "*.pdf",
+    "*.zip", "*.tar", "*.gz", "*.min.js", "*.min.css", "*.map", "*.generated.*", ".idea/", ".vscode/", "LICENSE", ".gitignore", ".editorconfig", ".prettierrc", ".eslintrc*",
+    "*.log",
+]
 
 
 def pattern_regex(pattern: str) -> tuple[str, bool] | None:
