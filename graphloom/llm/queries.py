@@ -22,7 +22,8 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.fuse(table(spark, d, "nodes")).where("n_rows >= 2 and n_deletes = 0").select("graphId", "id", "summary_row", "tags_row")
+    # The result is defined by the latest delivery, so time counts for more than votes.
+    return fusion.fuse(table(spark, d, "nodes"), fusion.STRICTLY_LATEST).where("n_rows >= 2 and n_deletes = 0").select("graphId", "id", "summary_row", "tags_row")
 
 
 def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
@@ -53,8 +54,8 @@ def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redact_credentials(_files(spark, d))
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_documents(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "pack_specs"))
+def _packed(spark: SparkSession, d: str, only_best_fit: bool = False) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "pack_specs"), only_best_fit)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +67,7 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill_report(_packed(spark, d))
+    return packing.fill_report(_packed(spark, d), _packed(spark, d, True))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
