@@ -139,7 +139,7 @@ def parses(lang: str, text: str) -> bool:
     letters = grammar.lex(lang, text)
     if lang not in parsing.EMPTY_IS_INVALID and not letters.strip("N"):
         return True
-    left, shapes = grammar.reduce_groups(letters)
+    left, shapes = grammar.reduce_groups(lang, letters)
     return grammar.pair_set(letters) <= grammar.permitted_pairs(lang) and not any(c in left for c in "()[]{}") and all(grammar.produces(lang, x) for x in [*shapes, *grammar.statements(lang, left)])
 
 
