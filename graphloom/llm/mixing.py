@@ -65,7 +65,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None) -> D
     sized = documents.where("text is not null").select("doc_id", canonical_source(F.col("source")).alias("source"), byte_tokens(F.col("text")).alias("tokens")).where(F.col("source").isin(*target))
     sized = cut_lineage(sized)  # three narrow columns; every later step reads these, not the texts
     # Documents of one size in one source move alike: the Newton sums run over these classes.
-    classes = sized.groupBy("source", "tokens").agg(F.count("*").alias("n"))
+    classes = cut_lineage(sized.groupBy("source", "tokens").agg(F.count("*").alias("n")))
     stats = {r["source"]: (int(r["t"]), float(r["m"])) for r in classes.groupBy("source").agg(F.sum(F.col("n") * F.col("tokens")).alias("t"), (F.sum(F.col("n") * F.col("tokens")) / F.sum("n")).alias("m")).collect()}
     if not stats:
         return empty

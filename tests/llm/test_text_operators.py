@@ -95,7 +95,12 @@ CODE = "export function a(x) {\n  if (x > 1) {\n    return call(x);\n  }\n  retu
         ("src/a.js", "// Generated once from a starter template, since then maintained by hand; edit freely.\n" + CODE, None), ("src/a.gen.ts", CODE, "generated"), ("generated_reports/a.js", CODE, None),
         ("vendor/lib/a.js", CODE, "vendored"), ("src/vendors/vendor_table.js", CODE, None), ("src/a.js", "// Vendored copy of b 1.2.3, see its own LICENSE.\n" + CODE, "vendored"), ("src/a.py", "#! b v0.2.8 | (c) 2016 The b authors | MIT\nx = 1\n", "vendored"),
         ("x/package-lock.json", "{}", "lock"), ("src/a.js", "var a=1;" + "function f(x){return x+1}" * 60, "minified"), ("src/a.js", "const HELP = '" + "long prose about code, " * 40 + "';\n" + CODE, None),
-        ("src/a.js", "module.exports = [\n" + "  [1, 'a', 2.5],\n" * 40 + "];\n", "data"), ("src/font.ts", "export const f = 'data:font/woff2;base64," + "Ab9+" * 300 + "';\n", "data"), ("a.js", "", None), ("README.md", "x" * 5000, None),
+        ("src/a.js", "module.exports = [\n" + "  [1, 'a', 2.5],\n" * 40 + "];\n", "data"),
+        ("src/a.js", "/*\n" + " * License text.\n" * 90 + " */\n// Code generated by tool. DO NOT EDIT.\n" + CODE, "generated"), ("models.py", '"""Models."""\n# Produced by sqlacodegen 2.3\nx = 1\n', None), ("models.py", "# Produced by sqlacodegen 2.3\nx = 1\n", "generated"),
+        ("src/a.java", "// Diese Datei wurde automatisch erzeugt, bitte nicht bearbeiten.\nclass A {}\n", "generated"), ("src/a.ts", "// 自动生成，请勿修改\n" + CODE, "generated"), ("src/a.js", "// Do not modify this list at runtime.\n" + CODE, None),
+        ("src/external/client.js", CODE, None), ("external/lib/a.js", CODE, "vendored"), ("src/j.js", "/*\n * jQuery JavaScript Library v3.6.0\n * https://jquery.com/\n *\n * Released under the MIT license\n */\n" + CODE, "vendored"),
+        ("src/j.js", "/*! jQuery v3.6.0 | (c) OpenJS Foundation */\n" + CODE, "vendored"), ("src/a.js", "var a=1;function f(x){return x+a}f(2);var b=f(3);if(b>1){f(b)}", "minified"), ("src/a.rs", "fn a(x:i32)->i32{let y=x+1;y*2}fn b(){a(1);a(2);}fn c(){b();b();}", "minified"),
+        ("db/seed.sql", "".join(f"INSERT INTO t (a, b) VALUES ({i}, 'x{i}');\n" for i in range(300)), "data"), ("src/model.py", "class M:\n" + "".join(f"    f{i} = Column(Integer, name='f{i}')\n" for i in range(60)), "generated"), ("src/font.ts", "export const f = 'data:font/woff2;base64," + "Ab9+" * 300 + "';\n", "data"), ("a.js", "", None), ("README.md", "x" * 5000, None),
     ],
 )
 def test_kinds_of_files(path, text, kind):
