@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.ids import has_prefix, trim_ws, with_repaired_id, with_repaired_ref
+from graphloom.session import written
 
 #: Parent rows that one range should hold, and references that one salt of a range should get.
 PARENTS_PER_RANGE = 25_000
@@ -83,6 +84,7 @@ def classify_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:
         *_digests(F.col("g"), F.col("rk"), "rk"), *_digests(F.col("g"), F.col("ik"), "ik"),
         (~has_prefix(trim_ws(F.col("raw")))).alias("bare"), "node_row", "op", "at",
     )
+    n = written(n)  # numbers only; three aggregates read them, so the repair runs once
 
     order = F.struct("at", "node_row")
     aliases = n.groupBy("raw1", "raw2").agg(
@@ -111,6 +113,7 @@ def classify_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:
         F.col("moment").alias("t"), "row_id", "ref_table", "graphId", "node_ref",
     ).select(in_range(F.col("b1")).alias("part"), F.lit(REF).cast("byte").alias("kind"), "a1", "a2", "b1", "b2", "t", F.lit(False).alias("gone"), "row_id", "ref_table", "graphId", "node_ref")
 
+    rows = written(rows)  # counted by range and then probed, so the repair of references runs once
     # One number per range, at most MAX_RANGES of them, tells which ranges need several tasks.
     hot = [(r["part"], int(-(-r["count"] // REFS_PER_SALT))) for r in rows.groupBy("part").count().where(F.col("count") > REFS_PER_SALT).collect()]
     if hot:

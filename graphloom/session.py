@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as a table of its own in the shared folder; unlike a checkpoint it tells the planner its size."""
+    target = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
 def _delivery(spark: SparkSession, paths: list[str]) -> str:
     """Digest of the files below the paths with their sizes and times: another delivery has another one."""
     jvm, seen = spark._jvm, []
@@ -66,3 +74,9 @@ def prepared(spark: SparkSession, name: str, sources: list[str], build: Callable
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         build().write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of tables that no plan reads any more; a missing one is no error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
