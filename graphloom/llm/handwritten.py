@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm import grammar as G
 from graphloom.session import cut_lineage
 
 #: Share of canonical gaps that minified code leaves out, and canonical lines per written line it has at least.
@@ -74,6 +73,12 @@ _CODE = set(_LEXED_AS) | _BRACES
 _TOKEN = re.compile(
     r"(?P<c>//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)|(?P<s>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<n>\d[\w.]*)|(?P<w>[^\W\d]\w*|[@#$][\w]+)|(?P<o>=>|->|::|[-+*/%&|^<>=!?~]+)|(?P<m>[()\[\]{},;:.])", re.S
 )
+_STRINGS = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
+_QUOTED = {
+    "c": re.compile(rf"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|{_STRINGS}|`(?:\\.|[^`\\])*`", re.S),
+    "py": re.compile(rf"\#[^\n]*|\b[rbuRBUfF]{{0,2}}(?:\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''|{_STRINGS})|{_STRINGS}", re.S),
+}
+_NUMBER, _NAME = re.compile(r"(?<![\w.])\d[\w.]*"), re.compile(r"(?<!\w)[^\W\d]\w*")
 _WORD_OR_LITERAL = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|\w+")
 _INDENT, _LOOSE = re.compile(r"(?m)^([ \t]+)(?=\S)"), re.compile(r"(?<=\S)[ \t]{2,}(?=\S)|[ \t]+(?=\r?$)", re.M)
 
@@ -90,13 +95,16 @@ class Layout:
         lang = _LEXED_AS.get(ext)
         self.names, self.literals = 1, 0
         if lang:
-            letters = G.lex(lang, text)
-            self.names = sum(map(letters.count, "iwjy"))
-            self.literals = letters.count("s") + letters.count("n") + letters.count("t") + letters.count("r")
+            # Comments and strings are lexed first, so that numbers and names are only those of the code between them.
+            quoted = _QUOTED["py" if lang == "py" else "c"]
+            strings = sum(1 for x in quoted.findall(text) if x[-1] in "\"'`")
+            code = quoted.sub(" ", text)
+            self.literals = strings + len(_NUMBER.findall(code))
+            self.names = len(_NAME.findall(code))
         # Each canonical line but the first has a mark before it: a text of few marks needs no printing to be told from minified code.
         self.canonical, self.tight = 1 + text.count(";") + text.count("{") + text.count("}"), None
         if ext == "py" or ext not in _CODE:
-            self.canonical = max(1, letters.count("N")) + letters.count(";") if lang else self.written
+            self.canonical = self.written + (code.count(";") if lang else 0)
         elif self.canonical >= EXPANSION * self.written:
             self.canonical, self.tight = self._printed(ext, text)
         self.expansion = self.canonical / self.written
