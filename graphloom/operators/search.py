@@ -17,20 +17,38 @@ FIELD_WEIGHTS = {"name": 0.4, "tags": 0.3, "summary": 0.2, "notes": 0.1}
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
 
 
+#: Share of a token's letters that may be wrong where it is matched with the beginning of a word.
+FUZZ = 0.4
+
+
 def text_score(token: str, name: Column, tags: Column, summary: Column, notes: Column) -> Column:
-    """Badness in [0, 1] of one token, 0 best: weighted over the fields; equal beats prefix beats inside."""
+    """Badness in [0, 1] of one token, 0 best: weighted over the fields; equal beats prefix beats inside beats nearly.
+
+    Nearly means that the token is the beginning of a word but for FUZZ of its letters at most (edit distance); it
+    costs 0.3 and the share of wrong letters.
+    """
     t = token.lower()
+    most = int(len(t) * FUZZ)
+
+    def near(low: Column) -> Column:
+        words = F.array_distinct(F.split(low, "[^a-z0-9]+"))
+        wrong = lambda w: F.least(*[F.levenshtein(F.lit(t), F.substring(w, 1, len(t) + d)) for d in (0, 1)])
+        return F.array_min(F.transform(words, wrong))
 
     def miss(c: Column) -> Column:
         low = F.lower(F.coalesce(c, F.lit("")))
-        return F.when(low == t, 0.0).when(low.startswith(t), 0.1).when(F.instr(low, t) > 0, 0.3).otherwise(1.0)
+        exact = F.when(low == t, 0.0).when(low.startswith(t), 0.1).when(F.instr(low, t) > 0, 0.3)
+        return exact.when(near(low) <= most, F.lit(0.3) + near(low) / F.lit(float(len(t)))).otherwise(1.0) if most else exact.otherwise(1.0)
 
     w = FIELD_WEIGHTS
     return (w["name"] * miss(name) + w["tags"] * miss(F.array_join(tags, " ", "")) + w["summary"] * miss(summary) + w["notes"] * miss(notes)) / sum(w.values())
 
 
 def search(nodes: DataFrame, query: str, k: int = 50, types: list[str] | None = None) -> DataFrame:
-    """Best nodes of every graph for any token of the query; blank queries find nothing. Score in [0, 1], lower is better."""
+    """Best nodes of every graph for any token of the query; blank queries find nothing. Score in [0, 1], lower is better.
+
+    types are applied after scoring and before the limit. Ties go to the first delivered.
+    """
     tokens = query.split()
     if not tokens:
         return nodes.select("graphId", "id", F.lit(1.0).alias("score"), F.lit(0).alias("place")).limit(0)

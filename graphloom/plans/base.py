@@ -74,7 +74,7 @@ BASE = f"""with {values(S.NODE_ALIASES | S.CODE_NODE_ALIASES, 'na')}, {values(S.
 nr as (select *, {repaired('id', 'type', 'filePath', 'name')} as rid from nodes where trim(coalesce(id, '')) <> ''),
 n as (select graphId, rid as id, case when coalesce(type, '') = '' then 'file' else coalesce(na.v, lower(type)) end as type, name, filePath,
   case when coalesce(summary, '') = '' then coalesce(nullif(name, ''), 'No summary') else summary end as summary, coalesce(tags, []) as tags,
-  case when coalesce(complexity, '') = '' then 'moderate' else coalesce(ca.v, lower(complexity)) end as complexity, node_row as node_ord
+  case when coalesce(complexity, '') = '' then 'moderate' else coalesce(ca.v, lower(complexity)) end as complexity, node_row as node_ord, languageNotes
   from (select * from nr qualify row_number() over (partition by graphId, rid order by arrivedAt desc, node_row desc) = 1) q
   left join na on na.k = lower(type) left join ca on ca.k = lower(complexity) where op <> 'delete'),
 al as (select graphId, id as ref, arg_max(rid, (arrivedAt, node_row)) as rid from nr group by 1, 2),

@@ -86,6 +86,11 @@ def r1_context(spark: SparkSession, d: str) -> DataFrame:
     return near.join(g.nodes.select("graphId", "id", "type"), ["graphId", "id"])
 
 
+def z1_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    """Misspelled words, files and functions only."""
+    return search.search(Graphs(spark, d).searched, "harbr registri", 20, ["file", "function"])
+
+
 def z3_nearest(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     return search.nearest(e.where("vec_id % 20 = 0"), e)
@@ -132,25 +137,26 @@ def m1_imports(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        r2_impact, r3_risk, j3_unmapped, r4_explain, j7_symbols, r6_distance, r7_depths, r8_levels, r14_components, r13_batches, w3_chunks, z1_search, r1_context, z3_nearest, z5_concepts,
+        r2_impact, r3_risk, j3_unmapped, r4_explain, j7_symbols, r6_distance, r7_depths, r8_levels, r14_components, r13_batches, w3_chunks, z1_search, z1_fuzzy, r1_context, z3_nearest, z5_concepts,
         j15_next_purchase, j16_innermost, j10_nearest_config, j12_suffix, m1_imports,
     )
 }
 
 _B = BASE.rstrip()
 _BR = BASE.replace("with na(k, v)", "with recursive na(k, v)", 1).rstrip()
-_MISS = "case when lower({c}) = '{t}' then 0.0 when starts_with(lower({c}), '{t}') then 0.1 when contains(lower({c}), '{t}') then 0.3 else 1.0 end"
+_NEAR = "list_min(list_transform(list_distinct(string_split_regex(lower({c}), '[^a-z0-9]+')), lambda w: least(levenshtein('{t}', left(w, {n})), levenshtein('{t}', left(w, {n} + 1)))))"
+_MISS = "case when lower({c}) = '{t}' then 0.0 when starts_with(lower({c}), '{t}') then 0.1 when contains(lower({c}), '{t}') then 0.3 when " + _NEAR + " <= {m} then 0.3 + " + _NEAR + " / {n}.0 else 1.0 end"
 
 
 def _score(t: str) -> str:
-    m = lambda c: _MISS.format(c=c, t=t)
+    m = lambda c: _MISS.format(c=c, t=t, n=len(t), m=len(t) * 2 // 5)
     tags = "coalesce(list_aggregate(list_transform(tags, lambda t: coalesce(t, '')), 'string_agg', ' '), '')"
-    return f"((0.4 * {m(chr(99) + 'oalesce(name, ' + repr('') + ')')} + 0.3 * {m(tags)} + 0.2 * {m('summary')}) / 0.9)"
+    return f"(0.4 * {m('coalesce(name, ' + repr('') + ')')} + 0.3 * {m(tags)} + 0.2 * {m('coalesce(summary, ' + repr('') + ')')} + 0.1 * {m('coalesce(languageNotes, ' + repr('') + ')')})"
 
 
-def _search(tokens: list[str], k: int) -> str:
+def _search(tokens: list[str], k: int, only: str = "") -> str:
     s = f"least({', '.join(map(_score, tokens))}, 1.0)"
-    return f"(select graphId, id, score, place from (select *, row_number() over (partition by graphId order by score, node_ord) as place from (select graphId, id, node_ord, round({s}::double, 6) as score from n) where score < 1) where place <= {k})"
+    return f"(select graphId, id, score, place from (select *, row_number() over (partition by graphId order by score, node_ord) as place from (select graphId, id, node_ord, round({s}::double, 6) as score from n{only}) where score < 1) where place <= {k})"
 
 
 _CH = ", ch as (select distinct graphId, path as filePath from source_files where path like '%.ts')"
@@ -175,6 +181,7 @@ ORACLE = {
     "j7_symbols": _B + ", w as (select distinct graphId, filePath, 'Outer.' || name as symbol from nodes where type in ('function', 'class') and filePath is not null), c as (select w.*, n.id, node_ord, case when n.name = symbol then 0 when split_part(symbol, '.', -1) = n.name then 1 when n.type = 'file' then 2 end as tier from w join n using (graphId, filePath)) select graphId, filePath, symbol, arg_min(id, (tier, node_ord)) as id, min(tier) as tier from c where tier is not null group by 1, 2, 3",
     "w3_chunks": BASE + "select graphId, id, node_ord, ((row_number() over (partition by graphId order by node_ord) - 1) // 12)::int as chunk from n",
     "z1_search": BASE + "select * from " + _search(["query", "tunnel"], 50),
+    "z1_fuzzy": BASE + "select * from " + _search(["harbr", "registri"], 20, " where type in ('file', 'function')"),
     "r1_context": _B + ", h as " + _search(["cursor"], 15) + " select x.graphId, x.id, n.type from (select graphId, id from h union select e.graphId, e.target from e join h on h.graphId = e.graphId and h.id = e.source union select e.graphId, e.source from e join h on h.graphId = e.graphId and h.id = e.target) x join n using (graphId, id)",
     "z3_nearest": "select query, vec_id, round(1 - s, 5) + 0.0 as score, place from (select *, row_number() over (partition by query order by s desc, vec_id) as place from (select q.vec_id as query, e.vec_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 12) as s from embeddings q join embeddings e on q.vec_id % 20 = 0 and q.vec_id <> e.vec_id)) where place <= 10",
     "z5_concepts": _B + f", tx as (select graphId, {_TXT} as t from n) select graphId, concept, count(*) as n from ({_CON}) group by 1, 2",
