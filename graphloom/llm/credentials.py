@@ -2,8 +2,7 @@
 
 All token formats, key armor, connection strings, header schemes and credential names are anchors of one
 deterministic automaton (Aho-Corasick). Files are scanned in overlapping chunks, anchors are deduplicated by
-their absolute place, and the grammar that belongs to an anchor is checked at that place over a bounded
-window. Accepted spans are absolute byte spans; overlapping ones are merged to the longest, and redaction
+their absolute place, and the grammar that belongs to an anchor is checked at that place, as far as it reaches. Accepted spans are absolute byte spans; overlapping ones are merged to the longest, and redaction
 splices a placeholder of the same line structure into each.
 """
 
@@ -20,8 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK, OVERLAP = 1 << 16, 1 << 9
-#: Longest stretch behind an anchor that a grammar looks at; an armored key may be longer than a chunk.
-WINDOW = 1 << 14
 
 _W = rb"[A-Za-z0-9_-]"
 #: Token formats: anchor (lower case) and grammar.
@@ -34,6 +31,7 @@ TOKENS = {
     b"xoxp-": rb"xoxp-[A-Za-z0-9-]{20,200}", b"xoxa-": rb"xoxa-[A-Za-z0-9-]{20,200}", b"xoxs-": rb"xoxs-[A-Za-z0-9-]{20,200}",
     b"xoxr-": rb"xoxr-[A-Za-z0-9-]{20,200}", b"aiza": rb"AIza[A-Za-z0-9_-]{32,40}", b"npm_": rb"npm_[A-Za-z0-9]{36}",
     b"hf_": rb"hf_[A-Za-z0-9]{30,60}", b"sg.": rb"SG\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{16,64}", b"dop_v1_": rb"dop_v1_[a-f0-9]{64}",
+    b"hooks.slack.com/services/": rb"hooks\.slack\.com/services/T[A-Za-z0-9]+/B[A-Za-z0-9]+/[A-Za-z0-9]{16,}", b"discord.com/api/webhooks/": rb"discord\.com/api/webhooks/[0-9]{10,}/[A-Za-z0-9_-]{30,}",
     b"eyj": rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}",
 }
 NAMES = (
@@ -41,7 +39,9 @@ NAMES = (
     b"clave", b"contrasen", b"kennwort", b"geheimnis", b"schluessel", b"mot_de_pass", b"motdepass", b"senha", b"jeton",
 )
 COMMENTS = (b"// ", b"# ", b"* ", b"-- ")
-AUTH, URL, ARMOR, USER = b"authorization", b"://", b"-----begin ", b"-u "
+AUTH, URL, ARMOR, USER, SSHPASS = b"authorization", b"://", b"-----begin ", b"-u ", b"sshpass -p"
+#: Beginnings of account names; a literal that begins so and a secret in the next one are an account with its password.
+ACCOUNTS = tuple(q + name for q in (b"'", b'"') for name in (b"svc", b"user", b"usr", b"admin", b"root", b"service", b"deploy", b"bot", b"account", b"login"))
 
 _TOKEN_RE = {a: re.compile(g) for a, g in TOKENS.items()}
 _ARMOR_RE = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -51,14 +51,17 @@ _ARMOR_BODY = re.compile(rb"[A-Za-z0-9+/=]{16,}")
 _URL_RE = re.compile(rb"://([^\s:/@'\"`<>]*):([^\s/@'\"`]+(?:/[^\s@'\"`/]*)?)@[A-Za-z0-9\[$.{_-]")
 _AUTH_RE = re.compile(rb"(?i)authorization['\"]?\s*[:=,]\s*['\"]?(basic|bearer|token)\s+([A-Za-z0-9+/=._~-]{8,})")
 _USER_RE = re.compile(rb"-u ['\"]?([A-Za-z0-9_.@-]+):([^\s'\"]{6,})")
-_IDENT_BEFORE = re.compile(rb"[A-Za-z0-9_.-]*\Z")
+_ACCOUNT_RE = re.compile(rb"(['\"])[A-Za-z][\w.@-]*\1[ \t]*,[ \t]*(['\"])((?:\\.|(?!\2)[^\\\n \t])+)\2")
+_SSHPASS_RE = re.compile(rb"(?i)sshpass -p[ \t]*(?:'([^'\n]+)'|\"([^\"\n]+)\"|([^\s'\"]+))")
+_TAG_VALUE = re.compile(rb">[ \t]*([^<>\n]+?)[ \t]*</")
+_IDENT = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 _IDENT_AFTER = re.compile(rb"[A-Za-z0-9_.-]*")
 # Between a name and its value: closing quote or bracket, a type, the sign, a literal's prefix.
 _ASSIGN = re.compile(rb"(\\?['\"`]?\]?)[ \t]*(?::[ \t]*(?:str|string|String|\*string|Optional\[str\]|&(?:'static )?str)[ \t]*(?==))?(:=|=>|==|=|:|,[ \t]*(?=['\"]))[ \t]*(?:\r?\n[ \t]*)?(?:[rbu]?(?=['\"]))?")
 _QUOTED = {q: re.compile(rb"(?:\\.|[^\\\n" + q + rb"])*") for q in (b"'", b'"', b"`")}
 _BARE = re.compile(rb"[^\s'\"`,;(){}\[\]<>]+")
 # A remark that ends with a colon and one long token; what the remark says the token is, if it is none.
-_REMARK = re.compile(rb"([^\n:=]{0,100})[:=][ \t]?([A-Za-z0-9+/=_.~-]{20,})[ \t]*(?=\r?\n|\Z|\*/)")
+_REMARK = re.compile(rb"([^\n:=]*)[:=][ \t]?([A-Za-z0-9+/=_.~-]{20,})[ \t]*(?=\r?\n|\Z|\*/)")
 _NO_SECRET = re.compile(rb"(?i)\b(?:sha\d*|md5|digest|checksum|hash|etag|commit|integrity|uuid|guid|id|public|fingerprint|revision)\b")
 _WORD = re.compile(rb"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -112,7 +115,7 @@ class Scanner:
 
     def __init__(self) -> None:
         self.automaton = ahocorasick.Automaton()
-        for a in [*TOKENS, *NAMES, *COMMENTS, AUTH, URL, ARMOR, USER]:
+        for a in [*TOKENS, *NAMES, *COMMENTS, *ACCOUNTS, AUTH, URL, ARMOR, USER, SSHPASS]:
             self.automaton.add_word(a.decode(), a)
         self.automaton.make_automaton()
 
@@ -149,21 +152,19 @@ class Scanner:
             m = _ARMOR_RE.match(data, at)
             if not m:
                 return None
-            end = _ARMOR_END.search(data, m.end())
+            # The block ends before the next one begins, so each stretch of a file is searched once.
             other = data.find(b"-----BEGIN ", m.end())
-            if end and 0 <= other < end.start():
-                end = None
+            end = _ARMOR_END.search(data, m.end(), other if other >= 0 else len(data))
             stop = end.end() if end else _ARMOR_LINES.match(data, m.end()).end()
             body = data[m.end() : end.start() if end else stop]
             return (at, stop, "private-key") if any(not _placeholder(b) for b in _ARMOR_BODY.findall(body)) else None
         if anchor == URL:
-            m = _URL_RE.match(data, at, at + WINDOW)
+            m = _URL_RE.match(data, at)
             if not m or _placeholder(m[2]) or _REFERENCE.match(m[1]) or m[2].lower() in (b"password", b"secret", b"passwd"):
                 return None
-            start = re.search(rb"[A-Za-z][A-Za-z0-9+.-]*\Z", data[max(0, at - 40) : at])
-            return (m.start(2), m.end(2), "connection") if start else None
+            return (m.start(2), m.end(2), "connection") if re.match(rb"[A-Za-z0-9+.-]", data[at - 1 : at]) and at else None
         if anchor == AUTH:
-            m = _AUTH_RE.match(data, at, at + WINDOW)
+            m = _AUTH_RE.match(data, at)
             if not m:
                 return None
             v = m[2]
@@ -176,8 +177,15 @@ class Scanner:
                 return (m.start(2), m.end(2), "header") if secret and not _placeholder(secret) else None
             return (m.start(2), m.end(2), "header") if _random(v) and not _placeholder(v) else None
         if anchor == USER:
-            m = _USER_RE.match(data, at, at + WINDOW)
+            m = _USER_RE.match(data, at)
             return (m.start(2), m.end(2), "user") if m and not _placeholder(m[2]) and not _plain_words(m[2]) else None
+        if anchor == SSHPASS:
+            m = _SSHPASS_RE.match(data, at)
+            k = m.lastindex if m else 0
+            return (m.start(k), m.end(k), "command") if m and not _placeholder(m[k]) else None
+        if anchor in ACCOUNTS:
+            m = _ACCOUNT_RE.match(data, at)
+            return (m.start(3), m.end(3), "account") if m and self._chosen(m[3]) else None
         if anchor in COMMENTS:
             m = _REMARK.match(data, at + len(anchor))
             if not m or not _random(m[2]) or re.fullmatch(rb"[0-9a-fA-F-]+", m[2]) or _NO_SECRET.search(m[1]) or _placeholder(m[2]) or re.match(rb"sha\d+-", m[2]):
@@ -186,22 +194,28 @@ class Scanner:
         return self._named(data, at, anchor)
 
     def _named(self, data: bytes, at: int, anchor: bytes) -> tuple[int, int, str] | None:
-        head = _IDENT_BEFORE.search(data[max(0, at - 80) : at])[0]
+        first = at
+        while first and data[first - 1] in _IDENT:
+            first -= 1
         tail = _IDENT_AFTER.match(data, at + len(anchor))
-        ident = head + data[at : tail.end()]
-        if credential_name(ident) and (m := _ASSIGN.match(data, tail.end(), tail.end() + 300)) and m[2] != b"==":
+        ident = data[first : tail.end()]
+        if not credential_name(ident):
+            return None
+        if data[first - 1 : first] == b"<" and (m := _TAG_VALUE.match(data, tail.end())):
+            return None if _placeholder(m[1]) or _plain_words(m[1]) or b" " in m[1] else (m.start(1), m.end(1), "element")
+        if (m := _ASSIGN.match(data, tail.end())) and m[2] != b"==":
             q = data[m.end() : m.end() + 1]
             if q in _QUOTED and q:
                 fence = data[m.end() : m.end() + 3] == q * 3
                 start = m.end() + (3 if fence else 1)
-                v = _QUOTED[q].match(data, start, start + WINDOW)
+                v = _QUOTED[q].match(data, start)
                 if data[v.end() : v.end() + 1] != q:
                     return None
                 value, kind = v, "named"
             else:
                 if m[2] in (b":=",) or b"\n" in m[0]:
                     return None
-                value, kind = _BARE.match(data, m.end(), m.end() + WINDOW), "named"
+                value, kind = _BARE.match(data, m.end()), "named"
                 if value is None or not self._bare_allowed(data, at, value):
                     return None
             text = value[0]
@@ -210,11 +224,20 @@ class Scanner:
                 text = text[scheme.end() :]
             if _URL_RE.search(text) or text.startswith(b"-----BEGIN"):
                 return None  # the other grammars judge these
-            if _placeholder(text) or _plain_words(text) or b" " in text or re.match(rb"[a-z]+://", text):
+            phrase = b" " in text and not ident.lower().rstrip(b"0123456789_-").endswith(b"passphrase")
+            if _placeholder(text) or (_plain_words(text) and b" " not in text) or phrase or re.match(rb"[a-z]+://", text):
                 return None
             return value.end() - len(text), value.end(), kind
         return None
 
+    @staticmethod
+    def _chosen(v: bytes) -> bool:
+        """Whether a literal looks like a password: at least eight characters of both cases with digits or marks, or in no order of cases."""
+        both = re.search(rb"[a-z]", v) and re.search(rb"[A-Z]", v)
+        if len(v) < 8 or not both or _placeholder(v) or _plain_words(v) or re.search(rb"[/\\:(){}\[\]<>,;]", v):
+            return False
+        return re.search(rb"[0-9!%+*#$&=?^~]", v) is not None and not re.fullmatch(rb"(?:[A-Za-z]?[a-z]+[._-]?)+[0-9]{0,4}", v) or _mixed(v)
+
     @staticmethod
     def _bare_allowed(data: bytes, at: int, value: re.Match) -> bool:
         """Unquoted values are literals in settings files, shell, comments and inside connection strings, not in code."""
@@ -233,6 +256,16 @@ def line_of(data: bytes, at: int) -> int:
     return data.count(b"\n", 0, at) + 1
 
 
+def lines_of(data: bytes, places: list[int]) -> list[int]:
+    """Line numbers of ascending places, counted in one pass."""
+    out, line, done = [], 1, 0
+    for at in places:
+        line += data.count(b"\n", done, at)
+        done = at
+        out.append(line)
+    return out
+
+
 def redact(data: bytes, spans: list[tuple[int, int, str]]) -> bytes:
     """Splices ``REDACTED`` into each span; line breaks inside a span (key blocks) and armor lines stay."""
     out, done = [], 0
@@ -265,10 +298,9 @@ def _scan(batches: Iterator[pa.RecordBatch], redacted: bool) -> Iterator[pa.Reco
                 texts.append(None if data is None else redact(data, spans).decode("utf-8", "replace") if spans else data.decode("utf-8", "replace"))
                 counts.append(len(spans))
             else:
-                for lo, _, kind in spans:
-                    where.append(i)
-                    lines.append(line_of(data, lo))
-                    kinds.append(kind)
+                where.extend([i] * len(spans))
+                lines.extend(lines_of(data, [s[0] for s in spans]) if spans else [])
+                kinds.extend(s[2] for s in spans)
         at = pa.array(where, pa.int32())
         if redacted:
             yield pa.RecordBatch.from_arrays([graph.take(at), path.take(at), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["graphId", "path", "content", "n_redacted"])

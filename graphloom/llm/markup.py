@@ -43,7 +43,7 @@ _VERB = re.compile(r"\\(?:verb\*?|lstinline)([^\sA-Za-z*{])(.*?)\1")
 _SPAN = re.compile(r"(?<!`)(`+)(?!`)((?:(?!\n[ \t]*\n).)+?)(?<!`)\1(?!`)", re.S)
 _DISPLAY = re.compile(r"\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\begin\{((?:equation|align|gather|multline|eqnarray|displaymath|math|flalign|alignat)\*?)\}(.*?)\\end\{\3\}", re.S)
 _MATHML = re.compile(r"<math\b[^<>]*>(.*?)</math>", re.S | re.I)
-_FORMULA = re.compile(r"(?<![\\$\w])\$(?=[^\s$])((?:\\.|[^\\$\n]){0,400}?[^\s\\$])\$(?![\d$A-Za-z])|\\\((.+?)\\\)")
+_FORMULA = re.compile(r"(?<![\\$\w])\$(?=[^\s$])((?:\\.|[^\\$\n])*?[^\s\\$])\$(?![\d$A-Za-z])|\\\((.+?)\\\)")
 
 _ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*$")
 _SETEXT = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
@@ -496,6 +496,8 @@ class Builder:
                 part = "  " * b.level + b.text
             elif b.kind == "rule":
                 continue
+            elif b.kind == "heading":
+                part = "#" * min(max(b.level, 1), 6) + " " + " ".join(b.text.split())
             else:
                 part = b.text
             tight = b.kind == last and b.kind in ("item", "quote")

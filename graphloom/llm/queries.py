@@ -90,11 +90,19 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
     return spans.repeated_passages(table(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spans.span_classes(table(spark, d, "documents"))
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    return spans.without_repeats(table(spark, d, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_clean, p3_found, p3_survivors, p4_found, p4_kinds, p5_found, p5_rates, p7_found, p7_redacted, p8_found, p8_packed, p8_fill,
-        p9_mix, p9_shares, p10_found, p10_shares, p10_passages,
+        p9_mix, p9_shares, p10_found, p10_shares, p10_passages, p10_classes, p10_clean,
     )
 }
 

@@ -14,6 +14,7 @@ themselves. The two of one chain bound its stretch of that pair; nothing else fi
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ BLOCK = 1 << 19
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BINV = np.uint64(pow(int(_B), -1, 1 << 64))
+_SENTENCE_END = re.compile(r"[.!?](?:[ \n]|\Z)|[。！？]|\n")
 _ENDS = np.array([ord(c) for c in ".!?。！？"], np.uint32)
 
 
@@ -167,6 +169,45 @@ def _common(x: str, y: str) -> int:
     return lo
 
 
+def _islands(spans: DataFrame) -> DataFrame:
+    """rep, start, stop of spans, those that touch or overlap made one."""
+    w = Window.partitionBy("rep").orderBy("start", "stop")
+    spans = spans.withColumn("reach", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("isle", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(w))
+    return spans.groupBy("rep", "isle").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("rep", "start", "stop")
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """Places of the sentences of a text, which together are all of it: they end with the blank or line end behind a stop, or at a line end."""
+    ends = [m.end() for m in _SENTENCE_END.finditer(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    return list(zip([0, *ends[:-1]], ends, strict=True))
+
+
+def without_sentences(text: str, cuts: list[tuple[int, int]]) -> str:
+    """The text without the sentences that lie whole within one of the ascending, disjoint stretches."""
+    kept, k = [], 0
+    for lo, hi in sentences(text):
+        while k < len(cuts) and cuts[k][1] < hi:
+            k += 1
+        if not (k < len(cuts) and cuts[k][0] <= lo and hi <= cuts[k][1]):
+            kept.append(text[lo:hi])
+    return "".join(kept)
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, chars, removed = [], [], []
+        for text, copy, cuts in zip(batch.column("text"), batch.column("copy").to_pylist(), batch.column("cuts"), strict=True):
+            t = text.as_py()
+            left = t if t is None else "" if copy else without_sentences(t, [(c["start"], c["stop"]) for c in cuts.as_py()]) if cuts.is_valid else t
+            texts.append(left)
+            chars.append(len(t or ""))
+            removed.append(len(t or "") - len(left or ""))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(chars, pa.int32()), pa.array(removed, pa.int32())], names=["doc_id", "text", "n_chars", "n_removed"])
+
+
 class SharedSpans:
     """Passages of at least SPAN characters that texts of different classes share.
 
@@ -214,6 +255,29 @@ class SharedSpans:
     def class_pairs(self) -> DataFrame:
         return self.links.select("a", "b").distinct()
 
+    def class_members(self) -> DataFrame:
+        """doc_id, rep (its class), n_copies (documents of the class), n_links (other classes that share a passage with it)."""
+        p = self.class_pairs()
+        n = p.select(F.col("a").alias("rep")).union(p.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
+        size = self.members.groupBy("rep").agg(F.count("*").alias("n_copies"))
+        return self.members.select("doc_id", "rep").join(size, "rep").join(n, "rep", "left").fillna(0, ["n_links"])
+
+    def later_passages(self) -> DataFrame:
+        """rep, start, stop of the passages of each class that a class of smaller rep has too; those that touch are one."""
+        e = self.extents().where(F.col("a") < F.col("b"))
+        return _islands(e.select(F.col("b").alias("rep"), (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop")).distinct())
+
+    def without_repeats(self, documents: DataFrame) -> DataFrame:
+        """doc_id, text, n_chars, n_removed: sentences that lie whole in a passage which an earlier document has are taken out.
+
+        Of equal texts and of shared passages the document with the smallest doc_id keeps them. A document that is left
+        without a sentence has an empty text. Null text stays null.
+        """
+        w = self.later_passages().groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+        per = self.members.select("doc_id", "rep").join(w, "rep", "left")
+        out = documents.select("doc_id", "text").join(per, "doc_id", "left").select("doc_id", "text", F.coalesce(F.col("rep") != F.col("doc_id"), F.lit(False)).alias("copy"), "cuts")
+        return out.mapInArrow(_without, "doc_id long, text string, n_chars int, n_removed int")
+
     def document_pairs(self) -> DataFrame:
         """doc_a < doc_b of every pair that shares a passage, equal texts included: class pairs and members expanded."""
         m = self.members
@@ -241,11 +305,7 @@ class SharedSpans:
         """rep, start, stop of the shared passages of each class, as places in code points; those that touch are one."""
         e = self.extents()
         both = F.array(F.struct(F.col("a").alias("rep"), "start", "stop"), F.struct(F.col("b").alias("rep"), (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop")))
-        spans = e.select(F.inline(both)).distinct()
-        w = Window.partitionBy("rep").orderBy("start", "stop")
-        spans = spans.withColumn("reach", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-        spans = spans.withColumn("isle", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(w))
-        return spans.groupBy("rep", "isle").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("rep", "start", "stop")
+        return _islands(e.select(F.inline(both)).distinct())
 
     def shares(self, documents: DataFrame) -> DataFrame:
         """doc_id, n_chars, shared_chars, share, n_twins (documents of equal text) of every document.
@@ -273,3 +333,10 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
 def shared_shares(documents: DataFrame) -> DataFrame:
     return SharedSpans(documents).shares(documents)
 
+
+def span_classes(documents: DataFrame) -> DataFrame:
+    return SharedSpans(documents).class_members()
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    return SharedSpans(documents).without_repeats(documents)
