@@ -14,6 +14,7 @@ TYPE_TO_PREFIX = {p: p for p in VALID_PREFIXES if p != "func"} | {"function": "f
 
 # White space as String.prototype.trim sees it.
 WS = r"[\s\u000b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+WS_CHARS = " \t\n\u000b\u000c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _V = "|".join(VALID_PREFIXES)
 # Lazily skips foreign segments up to the first valid one, then takes the innermost of a run of valid ones.
 PREFIX_RE = rf"(?s)^(?:[^:]+:)*?(?:(?:{_V}):)*({_V}):(.*)$"
@@ -23,7 +24,8 @@ CLEAN_RE = rf"^(?:{_V}):(?!(?:{_V}):)"
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Without white space at its ends; a set of characters is stripped many times faster than a pattern."""
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def has_prefix(trimmed: Column) -> Column:
