@@ -84,3 +84,19 @@ def freshness(fp: DataFrame, graphs: DataFrame) -> DataFrame:
     last = fp.groupBy("graphId").agg(F.max_by("gitCommitHash", F.struct("snapshot_no", "generatedAt")).alias("head"), F.collect_set("gitCommitHash").alias("known"))
     g = graphs.select("graphId", "gitCommitHash").join(last, "graphId", "left")
     return g.select("graphId", F.when(F.col("head").isNull(), "unknown").when(F.col("gitCommitHash") == F.col("head"), "fresh").when(F.array_contains("known", F.col("gitCommitHash")), "stale").otherwise("unknown").alias("status"))
+
+
+def commits(command: Column) -> Column:
+    """Whether a shell command makes commits, so that an update should follow."""
+    return F.coalesce(command.rlike(r"(?:^|[;&|(]\s*)(?:\w+=\S+\s+)*git\s+(?:-\S+\s+\S+\s+)*(?:commit|merge|cherry-pick|rebase|pull|am|revert)\b"), F.lit(False))
+
+
+def version_gate(stored: DataFrame, current: DataFrame, key: str, version: str) -> DataFrame:
+    """Rows of ``current`` whose version is not the one stored; keys that are not stored and null versions always pass."""
+    same = stored.select(key, F.col(version).alias("_v"))
+    return current.join(same, key, "left").where(~F.coalesce(F.col("_v") == F.col(version), F.lit(False))).drop("_v")
+
+
+def position(ahead: Column, behind: Column, dirty: Column) -> Column:
+    """How a working tree stands to its recorded commit: unknown, dirty, fresh, ahead, behind or diverged."""
+    return F.when(ahead.isNull() | behind.isNull(), "unknown").when((ahead > 0) & (behind > 0), "diverged").when(behind > 0, "behind").when(ahead > 0, "ahead").when(F.coalesce(dirty, F.lit(False)), "dirty").otherwise("fresh")

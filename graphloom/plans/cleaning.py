@@ -14,7 +14,7 @@ from graphloom.session import table
 
 
 def n1_n3_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return Graphs(spark, d).nodes.select("graphId", "id", "type", "name", "filePath", "summary", F.array_join("tags", ",", "").alias("tags"), "complexity", "node_ord")
+    return normalize.clean_nodes(table(spark, d, "nodes")).select("graphId", "id", "type", "name", "filePath", "summary", F.array_join("tags", ",", "").alias("tags"), "complexity", "node_ord")
 
 
 def n4_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +27,9 @@ def n8_batch_complexity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def n10_edges(spark: SparkSession, d: str) -> DataFrame:
-    return Graphs(spark, d).edges.withColumn("weight", F.round("weight", 6))
+    """From the raw tables, not from those written once."""
+    n = table(spark, d, "nodes")
+    return normalize.normalize_edges(table(spark, d, "edges"), n, normalize.clean_nodes(n)).edges.withColumn("weight", F.round("weight", 6))
 
 
 def n7_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from graphloom.session import table
 
 
 def _changed(spark: SparkSession, d: str) -> DataFrame:
-    """Files whose hash differs between rows of the last delivery day of their graph: a stand-in for a working tree."""
+    """All TypeScript files, which stand for what is changed in a working tree."""
     f = table(spark, d, "source_files").where("path like '%.ts'").select("graphId", F.col("path").alias("filePath"))
     return f.distinct()
 
@@ -96,6 +96,13 @@ def z3_nearest(spark: SparkSession, d: str) -> DataFrame:
     return search.nearest(e.where("vec_id % 20 = 0"), e)
 
 
+def z2_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of each vector with the next one."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    n = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return e.join(n, "vec_id").select("vec_id", F.round(search.cosine(F.col("embedding"), F.col("next")), 5).alias("similarity"))
+
+
 def z5_concepts(spark: SparkSession, d: str) -> DataFrame:
     return search.concepts(Graphs(spark, d).nodes).groupBy("graphId", "concept").agg(F.count("*").alias("n"))
 
@@ -137,7 +144,7 @@ def m1_imports(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        r2_impact, r3_risk, j3_unmapped, r4_explain, j7_symbols, r6_distance, r7_depths, r8_levels, r14_components, r13_batches, w3_chunks, z1_search, z1_fuzzy, r1_context, z3_nearest, z5_concepts,
+        r2_impact, r3_risk, j3_unmapped, r4_explain, j7_symbols, r6_distance, r7_depths, r8_levels, r14_components, r13_batches, w3_chunks, z1_search, z1_fuzzy, r1_context, z2_similarity, z3_nearest, z5_concepts,
         j15_next_purchase, j16_innermost, j10_nearest_config, j12_suffix, m1_imports,
     )
 }
@@ -184,6 +191,7 @@ ORACLE = {
     "z1_fuzzy": BASE + "select * from " + _search(["harbr", "registri"], 20, " where type in ('file', 'function')"),
     "r1_context": _B + ", h as " + _search(["cursor"], 15) + " select x.graphId, x.id, n.type from (select graphId, id from h union select e.graphId, e.target from e join h on h.graphId = e.graphId and h.id = e.source union select e.graphId, e.source from e join h on h.graphId = e.graphId and h.id = e.target) x join n using (graphId, id)",
     "z3_nearest": "select query, vec_id, round(1 - s, 5) + 0.0 as score, place from (select *, row_number() over (partition by query order by s desc, vec_id) as place from (select q.vec_id as query, e.vec_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 12) as s from embeddings q join embeddings e on q.vec_id % 20 = 0 and q.vec_id <> e.vec_id)) where place <= 10",
+    "z2_similarity": "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) as similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
     "z5_concepts": _B + f", tx as (select graphId, {_TXT} as t from n) select graphId, concept, count(*) as n from ({_CON}) group by 1, 2",
     "j15_next_purchase": "select v.event_id, v.user_id, arg_min(p.event_id, (p.ts, p.event_id)) as next_purchase_id from events v left join events p on p.user_id = v.user_id and p.event_type = 'purchase' and p.ts >= v.ts where v.event_type = 'view' group by 1, 2",
     "j16_innermost": "with q as (select * from nodes where len(lineRange) = 2 and filePath is not null), p as (select distinct graphId, filePath, lineRange[1] as line from q), m as (select p.graphId, p.filePath, p.line, arg_max(node_row, (lineRange[1], -lineRange[2], -node_row)) as r from p join q using (graphId, filePath) where lower(q.type) in ('class', 'function') and line between lineRange[1] and lineRange[2] group by 1, 2, 3) select graphId, count(*) as n_points, sum(r)::bigint as check_sum from m group by 1",

@@ -60,11 +60,26 @@ def g23_shared_symbols(spark: SparkSession, d: str) -> DataFrame:
     return consensus.inverted_index(e, "name", "file", 2, 40)
 
 
-QUERIES = {f.__name__: f for f in (l26_languages, l_entities, l6_variables, l3_yaml_keys, l2_tables, l15_go_functions, l14_python_calls, b18_significant, g23_shared_symbols)}
+def l13_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes, interfaces and enumerations of scripts."""
+    return parsers.extract_entities(_files(spark, d).where("lang in ('typescript', 'javascript')")).where("kind = 'class'").select("graphId", "path", "name", "first_line").distinct()
+
+
+def l16_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes, interfaces, enumerations and records of Java."""
+    return parsers.extract_entities(_files(spark, d).where("lang = 'java'")).where("kind = 'class'").select("graphId", "path", "name", "first_line").distinct()
+
+
+QUERIES = {f.__name__: f for f in (l13_classes, l16_classes, l26_languages, l_entities, l6_variables, l3_yaml_keys, l2_tables, l15_go_functions, l14_python_calls, b18_significant, g23_shared_symbols)}
 
 _EXT = "lower(case when starts_with(b, '.') then regexp_extract(b, '^\\.([A-Za-z0-9]+)', 1) else regexp_extract(b, '[^.]\\.([^.]+)$', 1) end)"
 _VALUES = lambda t: ", ".join(f"({k!r}, {v!r})" for k, v in t.items())
+# Declarations told by the words of a line once its modifiers are taken off, not by a pattern over the text.
+_WORDS = r"""with f as (select distinct graphId, path, string_split(replace(content, chr(13), ''), chr(10)) as ls from source_files where regexp_matches(path, '{ext}')), l as (select graphId, path, unnest(ls) as line, generate_subscripts(ls, 1) as first_line from f),
+  w as (select *, list_filter(string_split_regex(trim(line, chr(9) || ' '), '[ \t]+'), lambda x: x not in ({mods})) as ws from l) select distinct graphId, path, regexp_extract(ws[2], '^\w+') as name, first_line::int as first_line from w where ws[1] in ({heads}) and regexp_extract(ws[2], '^\w+') <> ''"""
 ORACLE = {
+    "l13_classes": _WORDS.format(ext=r"\.(?:tsx?|jsx?|mjs|cjs)$", mods="'export', 'default', 'abstract'", heads="'class', 'interface', 'enum'"),
+    "l16_classes": _WORDS.format(ext=r"\.java$", mods="'public', 'private', 'protected', 'static', 'final', 'abstract', 'sealed'", heads="'class', 'interface', 'enum', 'record'"),
     "l26_languages": f"""with f as (select path, {_EXT} as x, b from (select path, split_part(path, '/', -1) as b from source_files)), l(k, v) as (values {_VALUES(languages.LANGUAGE_BY_EXT)}), c(k, v) as (values {_VALUES(languages.CATEGORY_BY_EXT)})
       select case when regexp_matches(b, '^Dockerfile(?:\\.|$)') then 'dockerfile' when x <> '' then coalesce(l.v, x) else 'unknown' end as lang, case when regexp_matches(path, '{languages.INFRA_RE}') then 'infra' else coalesce(c.v, 'code') end as category, count(*) as n
       from f left join l on l.k = x left join c on c.k = x group by 1, 2""",
