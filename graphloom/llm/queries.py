@@ -120,7 +120,16 @@ _SUMMARY_OK = (
     f" and {_core('summary')} is distinct from {_core(chr(115) + 'plit_part(filePath, ' + repr('/') + ', -1)')} and not regexp_matches(trim(summary), '(…|\\.\\.+|[,;:(\\[–-])$'), false)"
 )
 _TAGS_OK = f"len(list_filter(coalesce(tags, []), lambda t: t is not null and {_core('t')} not in ({_TAGS}))) > 0"
+# Every stretch of 200 characters of every text, by brute force.
+_W10 = """with dd as (select doc_id, text, min(doc_id) over (partition by text) as rep, count(*) over (partition by text) as k from documents where length(text) >= 200),
+ w as (select doc_id, rep, i, hash(substr(text, i, 200)) as h from (select doc_id, rep, text, unnest(range(1, length(text) - 198)) as i from dd)),"""
+_C10 = " s as (select h from w where doc_id = rep group by h having count(distinct rep) > 1), k as (select w.rep, i, h from w semi join s using (h) where doc_id = rep), d as (select distinct rep, h from k)"
 ORACLE = {
+    "p10_found": _W10 + " s as (select h from w group by h having count(distinct doc_id) > 1), d as (select distinct doc_id, h from w semi join s using (h)) select distinct a.doc_id as doc_a, b.doc_id as doc_b from d a join d b on a.h = b.h and a.doc_id < b.doc_id",
+    "p10_shares": _W10 + """ s as (select h from w group by h having count(distinct doc_id) > 1), k as (select doc_id, i, lead(i) over (partition by doc_id order by i) as nxt from w semi join s using (h)), c as (select doc_id, sum(least(200, coalesce(nxt - i, 200))) as n from k group by 1)
+      select o.doc_id, coalesce(length(o.text), 0)::int as n_chars, coalesce(c.n, 0)::bigint as shared_chars, round(case when length(o.text) > 0 then coalesce(c.n, 0) / length(o.text) else 0 end, 6) as share, coalesce(dd.k - 1, 0) as n_twins from documents o left join c using (doc_id) left join dd on dd.doc_id = o.doc_id""",
+    "p10_classes": _W10 + _C10 + ", l as (select distinct a.rep, b.rep as other from d a join d b on a.h = b.h and a.rep <> b.rep), n as (select rep, count(*) as n_links from l group by 1) select dd.doc_id, dd.rep, dd.k as n_copies, coalesce(n_links, 0) as n_links from dd left join n using (rep)",
+    "p10_passages": _W10 + _C10 + ", g as (select rep, i, sum(case when i <= coalesce(lag_i, -1000) + 200 then 0 else 1 end) over (partition by rep order by i) as isle from (select rep, i, lag(i) over (partition by rep order by i) as lag_i from (select distinct rep, i from k))) select rep, (min(i) - 1)::int as start, (max(i) + 199)::int as stop from g group by rep, isle",
     "p3_found": f"""with n as (select *, {repaired("id", "type", "filePath", "name")} as rid from nodes where trim(coalesce(id, '')) <> '')
       select graphId, rid as id, arg_max(node_row, arrivedAt) filter ({_SUMMARY_OK}) as summary_row, arg_max(node_row, arrivedAt) filter ({_TAGS_OK}) as tags_row
       from n group by graphId, rid having count(*) >= 2 and count(*) filter (op = 'delete') = 0""",
