@@ -132,20 +132,11 @@ def j12_suffix(spark: SparkSession, d: str) -> DataFrame:
     return intervals.by_suffix(refs, f, ["graphId"])
 
 
-def m1_imports(spark: SparkSession, d: str) -> DataFrame:
-    """Relative TypeScript imports resolved to the first existing candidate."""
-    f = table(spark, d, "source_files").where("path like '%.ts' or path like '%.js'").select("graphId", "path", "content")
-    imp = f.select("graphId", F.col("path").alias("importer"), F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^import [^;\n]*from '\./([\w-]+)\.js'"), F.lit(1))).alias("spec")).distinct()
-    folder = F.when(F.instr("importer", "/") > 0, F.regexp_replace("importer", "[^/]*$", "")).otherwise("")
-    cand = imp.withColumn("candidates", F.array(*[F.concat(folder, F.col("spec"), F.lit(x)) for x in (".ts", ".js", "/index.ts")]))
-    return intervals.first_candidate(cand, table(spark, d, "source_files").select("graphId", "path").distinct(), ["graphId", "importer", "spec"], ["graphId"])
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         r2_impact, r3_risk, j3_unmapped, r4_explain, j7_symbols, r6_distance, r7_depths, r8_levels, r14_components, r13_batches, w3_chunks, z1_search, z1_fuzzy, r1_context, z2_similarity, z3_nearest, z5_concepts,
-        j15_next_purchase, j16_innermost, j10_nearest_config, j12_suffix, m1_imports,
+        j15_next_purchase, j16_innermost, j10_nearest_config, j12_suffix,
     )
 }
 
@@ -197,8 +188,6 @@ ORACLE = {
     "j16_innermost": "with q as (select * from nodes where len(lineRange) = 2 and filePath is not null), p as (select distinct graphId, filePath, lineRange[1] as line from q), m as (select p.graphId, p.filePath, p.line, arg_max(node_row, (lineRange[1], -lineRange[2], -node_row)) as r from p join q using (graphId, filePath) where lower(q.type) in ('class', 'function') and line between lineRange[1] and lineRange[2] group by 1, 2, 3) select graphId, count(*) as n_points, sum(r)::bigint as check_sum from m group by 1",
     "j10_nearest_config": "with f as (select distinct graphId, path from source_files), c as (select distinct graphId, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as folder from f where path like '%.json' or path like '%.yaml') select f.graphId, f.path, arg_max(folder, length(folder)) as folder from f join c on c.graphId = f.graphId and (c.folder = '' or starts_with(f.path, c.folder || '/')) group by 1, 2",
     "j12_suffix": "with f as (select distinct graphId, path from source_files), r as (select distinct graphId, split_part(path, '/', -1) as ref from f) select r.graphId, r.ref, count(*) as n_matches, case when count(*) = 1 then min(path) end as path from r join f on f.graphId = r.graphId and (f.path = r.ref or ends_with(f.path, '/' || r.ref)) group by 1, 2",
-    "m1_imports": """with i as (select distinct graphId, path as importer, unnest(regexp_extract_all(content, '(?m)^import [^;\\n]*from ''\\./([\\w-]+)\\.js''', 1)) as spec from source_files where path like '%.ts' or path like '%.js'),
-      c as (select i.*, u.pos, regexp_replace(importer, '[^/]*$', '') || spec || u.ext as path from i, (values (0, '.ts'), (1, '.js'), (2, '/index.ts')) u(pos, ext)) select c.graphId, importer, spec, arg_min(c.path, pos) as path from c join (select distinct graphId, path from source_files) f on f.graphId = c.graphId and f.path = c.path group by 1, 2, 3""",
     "r8_levels": _BR + ", lv0 as (select graphId, id, 0 as level from n union select l.graphId, e.target, l.level + 1 from lv0 l join e on e.graphId = l.graphId and e.source = l.id and e.source <> e.target and e.type = 'contains' where l.level < 30), mx as (select graphId, id, max(level) as level from lv0 group by 1, 2) select graphId, id, case when level >= 30 then -1 else level end as level from mx",
     "r7_depths": _BR + _BFS.format(edges="select distinct graphId, source as a, target as b from e where type in ('imports', 'calls', 'contains') and source <> target", most=40),
     "r6_distance": _BR + _BFS.format(edges="select distinct graphId, source as a, target as b from e where source <> target union select distinct graphId, target, source from e where source <> target", most=25),

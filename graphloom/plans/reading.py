@@ -40,14 +40,6 @@ def l15_go_functions(spark: SparkSession, d: str) -> DataFrame:
     return parsers.extract_entities(_files(spark, d).where("lang = 'go'")).where("kind = 'function'").select("graphId", "path", "name", "first_line", "exported").distinct()
 
 
-def l14_python_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Calls of a name that the file itself defines once at its top: caller, callee."""
-    e = parsers.extract_entities(_files(spark, d).where("lang = 'python'")).distinct()
-    defs = e.where("kind = 'function' and parent is null").groupBy("graphId", "path", "name").agg(F.count("*").alias("n")).where("n = 1")
-    calls = e.where("kind = 'call'").select("graphId", "path", F.col("parent").alias("caller"), "name", "first_line")
-    return calls.join(defs.drop("n"), ["graphId", "path", "name"]).where("caller is null or caller <> name")
-
-
 def b18_significant(spark: SparkSession, d: str) -> DataFrame:
     """Functions of at least ten lines and classes of at least twenty, or exported ones."""
     e = l_entities(spark, d).where("kind in ('function', 'method', 'class')")
@@ -70,7 +62,7 @@ def l16_classes(spark: SparkSession, d: str) -> DataFrame:
     return parsers.extract_entities(_files(spark, d).where("lang = 'java'")).where("kind = 'class'").select("graphId", "path", "name", "first_line").distinct()
 
 
-QUERIES = {f.__name__: f for f in (l13_classes, l16_classes, l26_languages, l_entities, l6_variables, l3_yaml_keys, l2_tables, l15_go_functions, l14_python_calls, b18_significant, g23_shared_symbols)}
+QUERIES = {f.__name__: f for f in (l13_classes, l16_classes, l26_languages, l_entities, l6_variables, l3_yaml_keys, l2_tables, l15_go_functions, b18_significant, g23_shared_symbols)}
 
 _EXT = "lower(case when starts_with(b, '.') then regexp_extract(b, '^\\.([A-Za-z0-9]+)', 1) else regexp_extract(b, '[^.]\\.([^.]+)$', 1) end)"
 _VALUES = lambda t: ", ".join(f"({k!r}, {v!r})" for k, v in t.items())

@@ -38,20 +38,18 @@ def s27_safe_paths(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (st_window_counts, st_sessions, s6_digest, s2_ignored, s27_safe_paths)}
 
 
-def _ignored(lines: list[str]) -> str:
-    out = "false"
-    for line in lines:
-        rx, negated = ignore.pattern_regex(line)
-        out = f"case when regexp_matches(path, '{rx}') then {str(not negated).lower()} else {out} end"
-    return out
-
-
+# The rules said anew, by path segments and the database's own wildcards.
+_DIRS = [x.rstrip("/") for x in ignore.DEFAULTS if x.endswith("/")]
+_NAMES = [x for x in ignore.DEFAULTS if not x.endswith("/")]
+_ANY = "len(list_filter({list}, lambda s: {test})) > 0"
+_DEFAULT = _ANY.format(list="g[:-2]", test="s in (" + ", ".join(f"'{x}'" for x in _DIRS) + ")") + " or " + _ANY.format(list="g", test=" or ".join(f"s glob '{x}'" for x in _NAMES))
+_RULED = "case when len(g) > 1 and g[1] = 'lib' then true when len(list_filter(range(1, len(g)), lambda i: g[i] = 'src' and g[i + 1] glob '*_test.py')) > 0 then false when " + _ANY.format(list="g", test="s glob '*_test.*'") + f" then true else ({_DEFAULT}) end"
 ORACLE = {
     "st_window_counts": "select strftime(time_bucket(interval 1 day, ts, timestamp '1970-01-01'), '%Y-%m-%d %H:%M') as window_start, event_type, count(*) as n from events group by 1, 2",
     "st_sessions": """with s as (select user_id, ts, case when ts - lag(ts) over w < interval 12 hour then 0 else 1 end as f from events window w as (partition by user_id order by ts)), g as (select user_id, sum(f) over (partition by user_id order by ts, f desc rows unbounded preceding) as k from s), c as (select user_id, k, count(*) as n from g group by 1, 2)
       select user_id, count(*) as n_sessions, max(n) as longest from c group by 1""",
     "s6_digest": """with f as (select graphId, path, max(sha256(coalesce(content, ''))) as h from source_files group by 1, 2), p as (select graphId, left(sha256(path), 3) as part, count(*) as n, sha256(string_agg(path || ':' || h, chr(10) order by path)) as h from f group by 1, 2)
       select graphId, sum(n)::bigint as n_files, sha256(string_agg(part || ':' || h, chr(10) order by part)) as digest from p group by 1""",
-    "s2_ignored": f"select file_row, {_ignored(ignore.DEFAULTS)} as by_default, ({_ignored(ignore.DEFAULTS + _USER)}) and not ({_ignored(ignore.DEFAULTS)}) as by_user from source_files",
+    "s2_ignored": f"select file_row, ({_DEFAULT}) as by_default, ({_RULED}) and not ({_DEFAULT}) as by_user from (select file_row, string_split(path, '/') as g from source_files)",
     "s27_safe_paths": "select fp_row, replace(filePath, '\\', '/') as inside, split_part(replace(filePath, '\\', '/'), '/', -1) as outside from fingerprints",
 }

@@ -23,13 +23,6 @@ def i6_decisions(spark: SparkSession, d: str) -> DataFrame:
     return incremental.classify_update(i3_changes(spark, d))
 
 
-def i7_merge_update(spark: SparkSession, d: str) -> DataFrame:
-    g = Graphs(spark, d)
-    files = table(spark, d, "source_files").where("path like '%.go'").select("graphId", F.col("path").alias("filePath")).distinct()
-    nodes, edges = incremental.merge_update(g.nodes, g.edges, files, g.nodes.limit(0), g.edges.limit(0))
-    return nodes.groupBy("graphId").agg(F.count("*").alias("n_nodes")).join(edges.groupBy("graphId").agg(F.count("*").alias("n_edges")), "graphId", "left")
-
-
 def i10_freshness(spark: SparkSession, d: str) -> DataFrame:
     return incremental.freshness(table(spark, d, "fingerprints"), table(spark, d, "graphs"))
 
@@ -132,7 +125,7 @@ def u3_new_functions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        i1_hashes, i3_changes, i6_decisions, i7_merge_update, i10_freshness, s4_line_counts, s9_paths, s13_missing_parts, s23_capped, g32_document_stats, w1_sections, w5_headings, l1_wikilinks, w4_bins,
+        i1_hashes, i3_changes, i6_decisions, i10_freshness, s4_line_counts, s9_paths, s13_missing_parts, s23_capped, g32_document_stats, w1_sections, w5_headings, l1_wikilinks, w4_bins,
         q7_direction_consensus, q5_quorum, g19_type_mode, g21_tag_index, j17_neighbours, g25_layers, g27_project, f8_tests, r23_test_pairs, b2_build, u3_new_functions,
     )
 }
@@ -160,9 +153,6 @@ ORACLE = {
     "i6_decisions": _I3 + """, tp as (select graphId, snapshot_no, bool_or(b = 0) as new_top from (select graphId, snapshot_no, case when contains(path, '/') then split_part(path, '/', 1) else '' end as top, count(*) filter (change <> 'new') as b from i3 group by 1, 2, 3) group by 1, 2),
       c as (select graphId, snapshot_no, count(*) filter (level = 'STRUCTURAL') as n_structural, count(*) filter (level = 'COSMETIC') as n_cosmetic, count(*) filter (level = 'NONE') as n_same, count(*) as n_files from i3 group by 1, 2)
       select c.*, case when n_structural = 0 then 'SKIP' when n_structural > 30 or n_structural > 0.5 * n_files then 'FULL' when new_top or n_structural > 10 then 'ARCHITECTURE' else 'PARTIAL' end as action from c join tp using (graphId, snapshot_no)""",
-    "i7_merge_update": _B + """, ch as (select distinct graphId, path as filePath from source_files where path like '%.go'), gone as (select n.graphId, n.id from n join ch using (graphId, filePath)),
-      k as (select graphId, count(*) as n_nodes from n where not exists (select 1 from ch where ch.graphId = n.graphId and ch.filePath = n.filePath) group by 1),
-      x as (select graphId, count(*) as n_edges from e where not exists (select 1 from gone g where g.graphId = e.graphId and (g.id = e.source or g.id = e.target)) group by 1) select k.graphId, n_nodes, n_edges from k left join x using (graphId)""",
     "i10_freshness": "with l as (select graphId, arg_max(gitCommitHash, (snapshot_no, generatedAt)) as head, list(distinct gitCommitHash) as known from fingerprints group by 1) select g.graphId, case when head is null then 'unknown' when g.gitCommitHash = head then 'fresh' when list_contains(known, g.gitCommitHash) then 'stale' else 'unknown' end as status from graphs g left join l using (graphId)",
     "s4_line_counts": "select doc_id, length(text) - length(replace(text, chr(10), '')) as newlines, case when length(text) = 0 then 0 when ends_with(text, chr(10)) then len(string_split(text, chr(10))) - 1 else len(string_split(text, chr(10))) end as n_lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(replace(x, chr(13), '')) <> '')) as n_filled from documents",
     "s9_paths": f"select fp_row, {_PATH} as path from fingerprints",
