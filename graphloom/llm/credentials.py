@@ -62,6 +62,7 @@ _QUOTED = {q: re.compile(rb"(?:\\.|[^\\\n" + q + rb"])*") for q in (b"'", b'"',
 _BARE = re.compile(rb"[^\s'\"`,;(){}\[\]<>]+")
 # A remark that ends with a colon and one long token; what the remark says the token is, if it is none.
 _REMARK = re.compile(rb"([^\n:=]*)[:=][ \t]?([A-Za-z0-9+/=_.~-]{20,})[ \t]*(?=\r?\n|\Z|\*/)")
+_SIGN = re.compile(rb"[:=\n]")
 _NO_SECRET = re.compile(rb"(?i)\b(?:sha\d*|md5|digest|checksum|hash|etag|commit|integrity|uuid|guid|id|public|fingerprint|revision)\b")
 _WORD = re.compile(rb"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -129,6 +130,7 @@ class Scanner:
                 break
         found: list[tuple[int, int, str]] = []
         done = -1
+        self._read = 0
         for at, a in sorted(anchors):
             if at >= done and (s := self._check(data, at, a)):
                 found.append(s)
@@ -187,7 +189,12 @@ class Scanner:
             m = _ACCOUNT_RE.match(data, at)
             return (m.start(3), m.end(3), "account") if m and self._chosen(m[3]) else None
         if anchor in COMMENTS:
+            # Of the remarks that end at one sign the first decides, so a line is read once however many begin in it.
+            if at < self._read:
+                return None
             m = _REMARK.match(data, at + len(anchor))
+            sign = _SIGN.search(data, at)
+            self._read = sign.start() if sign else len(data)
             if not m or not _random(m[2]) or re.fullmatch(rb"[0-9a-fA-F-]+", m[2]) or _NO_SECRET.search(m[1]) or _placeholder(m[2]) or re.match(rb"sha\d+-", m[2]):
                 return None
             return m.start(2), m.end(2), "comment"

@@ -32,7 +32,7 @@ _CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr
 _TAG = re.compile(r"<(/?)([a-z][a-z0-9]*|[A-Z][A-Z0-9]*)((?:\s+[A-Za-z_:@][\w:.-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*)\s*(/?)>")
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<!\[CDATA\[.*?\]\]>|<\?xml[^>]*\?>", re.S | re.I)
 _ENTITY = re.compile(r"&(?:[a-zA-Z][a-zA-Z0-9]{1,31}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});")
-_HINT = re.compile(r"[<>&#*_`~|=\[\]{}'\\$!^+-]|^\s*(?:\d+[.)]|[:;])\s", re.M)
+_HINT = re.compile(r"[<>&#*_`~|=\[\]{}'\\$!^+-]|^[ \t]*(?:\d+[.)]|[:;])\s", re.M)
 
 _FENCE = re.compile(r"^(?P<in>[ ]{0,3}(?:>[ ]?)*)(?P<f>`{3,}|~{3,})[ \t]*(?P<lang>[^\n`]*)\n(?P<body>.*?)(?:^[ ]{0,3}(?:>[ ]?)*(?P=f)[`~]*[ \t]*$|\Z)", re.S | re.M)
 _PRE = re.compile(r"<(pre|PRE|xmp|listing|syntaxhighlight|source)\b([^<>]*)>(.*?)(?:</\1\s*>|\Z)", re.S)
