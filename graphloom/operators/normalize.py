@@ -94,9 +94,12 @@ class NormalizedEdges:
 
 
 def id_aliases(nodes: DataFrame) -> DataFrame:
-    """graphId, ref, alias: the repaired id that a raw id of the deliveries stands for; of several the last delivered."""
+    """graphId, ref, alias: the repaired id that a raw id of the deliveries stands for; of several the last delivered.
+
+    Ids that stand for themselves are left out, which are nearly all.
+    """
     raw = with_repaired_id(nodes.where(trim_ws(F.col("id")) != ""), "rid")
-    return raw.groupBy("graphId", F.col("id").alias("ref")).agg(F.max_by("rid", F.struct("arrivedAt", "node_row")).alias("alias"))
+    return raw.groupBy("graphId", F.col("id").alias("ref")).agg(F.max_by("rid", F.struct("arrivedAt", "node_row")).alias("alias")).where("alias <> ref")
 
 
 def resolve_aliased(refs: DataFrame, aliases: DataFrame, living: DataFrame) -> DataFrame:
