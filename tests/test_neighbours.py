@@ -34,6 +34,41 @@ def test_common_terms_count_for_neighbours(spark):
         assert got == ranked(rows, k)
 
 
+def test_members_with_many_common_terms_rank_as_defined(spark):
+    rng = random.Random(5)
+    rows = {("g", f"m{i:03}", f"common{t}") for i in range(120) for t in rng.sample(range(14), rng.choice((1, 2, 3, 6, 7, 9)))} | {("g", f"m{rng.randrange(120):03}", f"rare{t % 30}") for t in range(60)}
+    df = spark.createDataFrame([*rows], "g string, m string, t string")
+    for k in (1, 5):
+        got = {(r["g"], r["m"], r["other"], r["score"]) for r in consensus.ranked_neighbours(df, "g", "t", "m", k, high=10).collect()}
+        assert got == ranked(rows, k)
+
+
+def rows_of_steps(spark, after: int = -1) -> dict[int, int]:
+    """By number of execution, the most rows that a step of its plan gave."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen: dict[int, int] = {}
+    runs = store.executionsList()
+    for i in range(runs.size()):
+        if (run := runs.apply(i).executionId()) > after:
+            values, steps = store.executionMetrics(run), store.planGraph(run).allNodes()
+            metrics = [m for j in range(steps.size()) for m in [steps.apply(j).metrics()]]
+            ids = [m.apply(j).accumulatorId() for m in metrics for j in range(m.size()) if m.apply(j).name() == "number of output rows"]
+            seen[run] = max([0, *(int(v.get().replace(",", "")) for x in ids if (v := values.get(x)).isDefined())])
+    return seen
+
+
+def test_sets_of_common_terms_do_not_meet_each_other(spark):
+    """2,000 members with nearly as many sets of four common terms: no step gives a row for each two of them."""
+    rng = random.Random(7)
+    rows = {("g", f"m{i:04}", f"common{t}") for i in range(2000) for t in rng.sample(range(25), 4)}
+    df = spark.createDataFrame([*rows], "g string, m string, t string")
+    before = max(rows_of_steps(spark), default=-1)
+    got = {(r["g"], r["m"], r["other"], r["score"]) for r in consensus.ranked_neighbours(df, "g", "t", "m", 5).collect()}
+    assert got == ranked(rows, 5)
+    most = max(rows_of_steps(spark, before).values())
+    assert 10_000 <= most < 500_000, most
+
+
 def test_owner_is_the_nearest_file_at_any_depth(spark):
     kinds = {"f": "file", "f2": "file", "c": "class", "m": "function", "deep": "function", "two": "function", "x": "class", "y": "class", "alone": "class", "z": "class"}
     nodes = spark.createDataFrame([("g", i, t) for i, t in kinds.items()], "graphId string, id string, type string")
