@@ -12,12 +12,15 @@ from itertools import chain
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import louvain
 from graphloom.operators.views import first_layer, neighbours
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, delete_folder, written
 
 
 #: Modularity that a round of moves must gain to count.
 GAIN = 1e-4
+#: Linked pairs of a graph that one task settles.
+MOST_LINKS = 500_000
 
 
 def diff_impact(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -219,66 +222,110 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
-def _modularity(links: DataFrame, label: DataFrame, resolution: float) -> float:
-    """Modularity of a partition, over all graphs, each weighted by its links."""
+def _modularity(links: DataFrame, label: DataFrame, resolution: float) -> dict[str, float]:
+    """Modularity of a partition of each graph."""
     a = links.join(label.select("graphId", F.col("id").alias("a"), F.col("community").alias("ca")), ["graphId", "a"]).join(label.select("graphId", F.col("id").alias("b"), F.col("community").alias("cb")), ["graphId", "b"])
     per = a.groupBy("graphId", F.col("ca").alias("c")).agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("inner"), F.sum("w").alias("all"))
-    m = per.groupBy("graphId").agg(F.sum("all").alias("m2"))
-    q = per.join(m, "graphId").select((F.col("inner") - resolution * F.col("all") * F.col("all") / F.col("m2")).alias("q"), "all").agg(F.sum("q").alias("q"), F.sum("all").alias("m")).first()
-    return float(q["q"] or 0.0) / float(q["m"] or 1.0)
+    m = per.groupBy("graphId").agg(F.sum("inner").alias("inner"), F.sum("all").alias("m2"), F.sum(F.col("all") * F.col("all")).alias("squares"))
+    return {r["graphId"]: r["q"] for r in m.select("graphId", ((F.col("inner") * F.col("m2") - resolution * F.col("squares")) / (F.col("m2") * F.col("m2"))).alias("q")).collect()}
 
 
-def _move(links: DataFrame, nodes: DataFrame, resolution: float) -> tuple[DataFrame, bool]:
-    """Moves nodes to the neighbouring community of largest modularity gain until a pass over all nodes gains less than GAIN.
+def _apart(moves: DataFrame) -> DataFrame:
+    """Moves that are the best of both communities they touch; ties to the smaller node."""
+    w = Window.partitionBy("graphId", "touched").orderBy(F.desc("more"), "id")
+    touching = moves.select("*", F.explode(F.array("own", "to")).alias("touched"))
+    best = touching.withColumn("r", F.row_number().over(w)).where("r = 1").groupBy("graphId", "id").agg(F.count("*").alias("n")).where("n = 2")
+    return moves.join(best.select("graphId", "id"), ["graphId", "id"], "left_semi")
 
-    Nodes move in two groups by a hash, so neighbours less often swap places; a round that loses is taken back.
-    """
-    degree = cut_lineage(links.groupBy("graphId", F.col("a").alias("id")).agg(F.sum("w").alias("k")))
+
+def _moved(label: DataFrame, moves: DataFrame) -> DataFrame:
+    """graphId, id, old and new community."""
+    return written(label.withColumnRenamed("community", "old").join(moves.select("graphId", "id", "to"), ["graphId", "id"], "left").select("graphId", "id", "old", F.coalesce("to", "old").alias("community")))
+
+
+def _move(links: DataFrame, nodes: DataFrame, resolution: float) -> tuple[DataFrame, list[str]]:
+    """``louvain.settle`` of all graphs together, as joins; also the graphs where a node moved."""
+    degree = written(links.groupBy("graphId", F.col("a").alias("id")).agg(F.sum("w").alias("k")))
     m2 = degree.groupBy("graphId").agg(F.sum("k").alias("m2"))
-    label = cut_lineage(nodes.select("graphId", "id", F.col("id").alias("community")))
-    best, turn, idle, moved = _modularity(links, label, resolution), 0, 0, False
-    while idle < 2:
+    label = nodes.select("graphId", "id", F.col("id").alias("community"))
+    best, turn, moved, last = _modularity(links, label, resolution), 0, set(), []
+    idle = dict.fromkeys(best, 0)
+    while going := [g for g, n in idle.items() if n < 2]:
+        on = F.col("graphId").isin(going)
         size = label.join(degree, ["graphId", "id"]).groupBy("graphId", "community").agg(F.sum("k").alias("total"))
-        mine = degree.where(F.pmod(F.xxhash64("graphId", "id"), F.lit(2)) == turn % 2).join(label.withColumnRenamed("community", "own"), ["graphId", "id"])
-        to = links.where("a <> b").join(label.select("graphId", F.col("id").alias("b"), "community"), ["graphId", "b"]).groupBy("graphId", F.col("a").alias("id"), "community").agg(F.sum("w").alias("w"))
+        mine = degree.where(on & (_group("id") == turn % 2)).join(label.withColumnRenamed("community", "own"), ["graphId", "id"])
+        to = links.where(on & F.expr("a <> b")).join(label.select("graphId", F.col("id").alias("b"), "community"), ["graphId", "b"]).groupBy("graphId", F.col("a").alias("id"), "community").agg(F.sum("w").alias("w"))
         stay = mine.select("graphId", "id", F.col("own").alias("community"), F.lit(0.0).alias("w"))
         options = mine.join(to.unionByName(stay).groupBy("graphId", "id", "community").agg(F.sum("w").alias("w")), ["graphId", "id"]).join(size, ["graphId", "community"]).join(m2, "graphId")
-        rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - resolution * F.col("k") * rest / F.col("m2"), 9)
+        own = F.col("community") == F.col("own")
+        gain = F.col("w") * F.col("m2") - resolution * F.col("k") * (F.col("total") - F.when(own, F.col("k")).otherwise(0.0))
         # Of equal gains the own community, then the smallest.
-        w = Window.partitionBy("graphId", "id").orderBy(F.desc("gain"), F.desc(F.col("community") == F.col("own")), "community")
-        pick = options.withColumn("gain", gain).withColumn("r", F.row_number().over(w)).where("r = 1 and community <> own").select("graphId", "id", F.col("community").alias("to"))
-        new = cut_lineage(label.join(pick, ["graphId", "id"], "left").select("graphId", "id", F.coalesce("to", "community").alias("community")))
-        now = _modularity(links, new, resolution)
+        w = Window.partitionBy("graphId", "id")
+        ranked = options.withColumn("gain", gain).withColumns({"r": F.row_number().over(w.orderBy(F.desc("gain"), F.desc(own), "community")), "more": F.col("gain") - F.max(F.when(own, F.col("gain"))).over(w)})
+        moves = written(ranked.where("r = 1 and community <> own").select("graphId", "id", "own", F.col("community").alias("to"), "more"))
+        made = [moves, new := _moved(label, moves)]
+        now = _modularity(links.where(on), new, resolution)
+        if lost := [g for g in going if now[g] <= best[g] + GAIN]:
+            of_lost = F.col("graphId").isin(lost)
+            made.append(new := _moved(label, moves.where(~of_lost).union(_apart(moves.where(of_lost)))))
+            now |= _modularity(links.where(of_lost), new, resolution)
+        won = [g for g in going if now[g] > best[g] + GAIN]
         turn += 1
-        if now > best + GAIN:
-            label, best, idle, moved = new, now, 0, True
-        else:
-            idle += 1
-    return label, moved
+        idle |= {g: 0 if g in won else idle[g] + 1 for g in going}
+        best |= {g: now[g] for g in won}
+        moved |= {*won}
+        label = new.select("graphId", "id", F.when(F.col("graphId").isin(won), F.col("community")).otherwise(F.col("old")).alias("community"))
+        for df in last:
+            delete_folder(df.sparkSession, df.inputFiles()[0].rpartition("/")[0])
+        last = made
+    return label, sorted(moved)
+
+
+def _group(node: str) -> F.Column:
+    """Nodes move in two groups."""
+    return F.pmod(F.xxhash64("graphId", node), F.lit(2)).cast("int")
+
+
+def _communities_by_joins(pairs: DataFrame, resolution: float) -> DataFrame:
+    """graphId, id, community of linked nodes, of graphs that are too large for a task."""
+    both = pairs.select("graphId", "a", "b").union(pairs.select("graphId", "b", "a"))
+    links = written(both.withColumn("w", F.lit(1.0)))
+    label = None
+    while True:
+        level = links.select("graphId", F.col("a").alias("id")).distinct()
+        step, moved = _move(links, level, resolution)
+        above = step.select("graphId", F.col("id").alias("mid"), F.col("community").alias("up"))
+        # Graphs that were settled on an earlier level stay as they are.
+        label = step if label is None else written(label.withColumnRenamed("community", "mid").join(above, ["graphId", "mid"], "left").select("graphId", "id", F.coalesce("up", "mid").alias("community")))
+        if not moved:
+            return label
+        a, b = (step.select("graphId", F.col("id").alias(x), F.col("community").alias("c" + x)) for x in "ab")
+        links = links.where(F.col("graphId").isin(moved))
+        links = written(links.join(a, ["graphId", "a"]).join(b, ["graphId", "b"]).groupBy("graphId", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, most_links: int = MOST_LINKS) -> DataFrame:
     """graphId, id, community of greatest modularity found: nodes move, communities become nodes, until nothing gains.
 
-    A community is named by one of its members. Nodes without links stay alone. Deterministic.
+    A community is named by one of its members. Nodes without links stay alone. Deterministic, and the same for a graph
+    whatever others the table has: graphs of up to ``most_links`` linked pairs are settled in one task each, larger ones by joins
+    in the same steps.
     """
-    ids = cut_lineage(nodes.select("graphId", "id").distinct())
+    ids = written(nodes.select("graphId", "id").distinct())
     e = edges.join(ids.withColumnRenamed("id", "source"), ["graphId", "source"], "left_semi").join(ids.withColumnRenamed("id", "target"), ["graphId", "target"], "left_semi")
-    pairs = _links(e, False).select("graphId", F.col("id").alias("a"), F.col("next").alias("b"))
-    links = cut_lineage(pairs.withColumn("w", F.lit(1.0)))
-    linked = links.select("graphId", F.col("a").alias("id")).distinct()
-    label, level = None, linked
-    while not links.isEmpty():
-        step, moved = _move(links, level, resolution)
-        label = step if label is None else cut_lineage(label.select("graphId", "id", F.col("community").alias("mid")).join(step.select("graphId", F.col("id").alias("mid"), "community"), ["graphId", "mid"]).select("graphId", "id", "community"))
-        if not moved:
-            break
-        a, b = (step.select("graphId", F.col("id").alias(x), F.col("community").alias("c" + x)) for x in "ab")
-        links = cut_lineage(links.join(a, ["graphId", "a"]).join(b, ["graphId", "b"]).groupBy("graphId", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
-        level = links.select("graphId", F.col("a").alias("id")).distinct()
-    if label is None:
-        return ids.withColumn("community", F.col("id"))
+    pairs = e.where("source <> target").select("graphId", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    pairs = written(pairs.withColumns({"group_a": _group("a"), "group_b": _group("b")}))
+    large = pairs.groupBy("graphId").count().where(F.col("count") > most_links).select("graphId")
+    large = [r["graphId"] for r in large.collect()]
+
+    def settled(t):
+        return louvain.communities(t, resolution, GAIN)
+
+    spark = nodes.sparkSession
+    # A number of partitions, as the bytes of a graph don't tell its time.
+    label = pairs.where(~F.col("graphId").isin(large)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "graphId").groupBy("graphId").applyInArrow(settled, "graphId string, id string, community string")
+    if large:
+        label = label.union(_communities_by_joins(pairs.where(F.col("graphId").isin(large)), resolution))
     return ids.join(label, ["graphId", "id"], "left").select("graphId", "id", F.coalesce("community", "id").alias("community"))
 
 
@@ -304,7 +351,7 @@ def chunks(df: DataFrame, by: list[str], order: list[str], size: int, out: str =
 def split_batches(labelled: DataFrame, largest: int = 35, smallest: int = 3, pool: int = 25) -> DataFrame:
     """Batches from communities: those above ``largest`` are cut into equal parts, those below ``smallest`` pooled."""
     size = Window.partitionBy("graphId", "community")
-    sized = labelled.withColumns({"n": F.count("*").over(size), "k": F.row_number().over(size.orderBy("id"))})
+    sized = written(labelled.withColumns({"n": F.count("*").over(size), "k": F.row_number().over(size.orderBy("id"))}))
     parts = F.ceil(F.col("n") / largest)
     big = sized.where(F.col("n") >= smallest).select("graphId", "id", F.concat("community", F.lit("#"), F.floor((F.col("k") - 1) * parts / F.col("n")).cast("string")).alias("batch"))
     small = chunks(sized.where(F.col("n") < smallest), ["graphId"], ["community", "id"], pool).select("graphId", "id", F.concat(F.lit("misc#"), F.col("chunk").cast("string")).alias("batch"))

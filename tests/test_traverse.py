@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+from functools import reduce
+
+from pyspark.sql import DataFrame
+
 from graphloom.operators import intervals, traverse
 
 
@@ -48,6 +54,39 @@ def test_three_cliques_are_three_communities(spark):
     assert sorted(map(sorted, parts.values())) == [["a1", "a2", "a3"], ["alone"], ["b1", "b2", "b3"], ["c1", "c2", "c3"]]
 
 
+def _knots(rng, n_knots, size, across):
+    """Linked pairs, most of them within knots."""
+    ids = [[f"{k}-{i}" for i in range(size)] for k in range(n_knots)]
+    pairs = [tuple(rng.sample(k, 2)) for k in ids for _ in range(size * 2)] + [(rng.choice(rng.choice(ids)), rng.choice(rng.choice(ids))) for _ in range(across)]
+    return sorted({x for k in ids for x in k}), pairs
+
+
+def _modularity(pairs, label):
+    links = {(min(p), max(p)) for p in pairs if p[0] != p[1]}
+    ends = Counter(label[x] for p in links for x in p)
+    return sum(label[a] == label[b] for a, b in links) / len(links) - sum(n * n for n in ends.values()) / (2 * len(links)) ** 2
+
+
+def test_communities_of_many_graphs_by_few_jobs_and_by_joins_alike(spark):
+    rng = random.Random(11)
+    graphs = {"a": _knots(rng, 4, 6, 8), "b": _knots(rng, 6, 9, 25), "c": _knots(rng, 2, 4, 2), "d": (["x", "y"], [("x", "x")])}
+    nodes = reduce(DataFrame.union, (_nodes(spark, ids, g) for g, (ids, _) in graphs.items()))
+    edges = reduce(DataFrame.union, (_edges(spark, pairs, g) for g, (_, pairs) in graphs.items()))
+    label = lambda df: {(r["graphId"], r["id"]): r["community"] for r in df.collect()}
+    spark.sparkContext.setJobGroup("communities", "")
+    got = label(traverse.communities(nodes, edges))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("communities"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 25, jobs
+    # Links within the knots weigh more than any other cut; a graph is told alike without the others.
+    for g in "abc":
+        mine = {i: c for (h, i), c in got.items() if h == g}
+        assert _modularity(graphs[g][1], mine) >= _modularity(graphs[g][1], {i: i.split("-")[0] for i in mine}) - 0.02
+    assert label(traverse.communities(_nodes(spark, graphs["c"][0], "c"), _edges(spark, graphs["c"][1], "c"))) == {k: v for k, v in got.items() if k[0] == "c"}
+    assert {k[1]: v for k, v in got.items() if k[0] == "d"} == {"x": "x", "y": "y"}
+    assert label(traverse.communities(nodes, edges, most_links=15)) == got
+
+
 def test_numbering_over_partitions_is_that_of_one_sort(spark):
     df = spark.createDataFrame([("g" if i % 3 else None, i * 7 % 101) for i in range(90)], "graphId string, k int")
     got = traverse.numbered(df, ["graphId"], ["k"], "nth").collect()
