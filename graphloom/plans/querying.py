@@ -67,8 +67,7 @@ def r14_components(spark: SparkSession, d: str) -> DataFrame:
 
 def r13_batches(spark: SparkSession, d: str) -> DataFrame:
     g = Graphs(spark, d)
-    files = g.nodes.where("type = 'file'")
-    return traverse.split_batches(traverse.communities(files, g.edges.where("type = 'imports'").join(files.select("graphId", F.col("id").alias("source")), ["graphId", "source"], "left_semi").join(files.select("graphId", F.col("id").alias("target")), ["graphId", "target"], "left_semi")))
+    return traverse.split_batches(traverse.communities(g.nodes.where("type = 'file'"), g.edges.where("type = 'imports'")))
 
 
 def w3_chunks(spark: SparkSession, d: str) -> DataFrame:
